@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from artefold.operators import exactly_once, shred
+from artefold.operators import drift, exactly_once, logmine, shred
 from artefold.session import table
 
 
@@ -63,7 +63,64 @@ def _entity(name: str):
     return run
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_admitted": p5_admitted} | {f"p3_{n}": _entity(n) for n in ENTITIES}
+#: Target schemas of the three kinds of state files.
+STORES = (
+    drift.Store(
+        "packet_cache", "entries", "cache_key",
+        {"version": "integer"},
+        {"target": "string", "input_hash": "string", "created_at_unix": "integer", "metadata_json": "string", "runtime_ms": "integer", "token_usage": "integer", "delta_ratio": "decimal", "reused_from": "string"},
+    ),
+    drift.Store(
+        "diagnostics", "issues", "fingerprint",
+        {"schema_version": "integer", "path_norm_version": "integer", "normalized_paths": "boolean", "repo_root_id": "string"},
+        {"path": "string", "line": "integer", "end_line": "integer", "severity": "string", "rule_id": "string", "message": "string", "source": "string"},
+    ),
+    drift.Store(
+        "testmap", "tests", "test_id",
+        {"schema_version": "integer", "generated_at_unix": "integer"},
+        {"language": "string", "duration_ms": "integer", "sample_count": "integer", "last_seen": "integer", "coverage_reports": "array"},
+    ),
+)
+#: Further fields promoted into every table.
+APPROVED = {"tier": "string", "owner_team": "string", "weight": "decimal", "score": "decimal", "ttl_secs": "integer", "retries": "integer", "est_bytes": "integer", "shard_hint": "integer", "pinned": "boolean", "quarantined": "boolean", "origin": "object", "agent": "object", "note": "string", "workspace": "string", "locale": "string"}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field added, removed, renamed or retyped, with the file where it happened."""
+    return drift.changes(table(spark, sf_dir, "state_files"), STORES)
+
+
+def _store_table(store: drift.Store):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = table(spark, sf_dir, "state_files")
+        renames = drift.aliases(drift.changes(files, STORES), STORES)
+        return drift.replay(drift.ingest(files, STORES), store, renames, APPROVED)
+
+    run.__doc__ = f"The consistent table of the {store.name} records."
+    return run
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "diag_lines")
+    return logmine.entries(lines, table(spark, sf_dir, "diag_reports"), logmine.heads(lines))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of all checker output with their place, time, severity and component."""
+    return _entries(spark, sf_dir).select("report_id", "first_line", "last_line", "ts_unix", "severity", "component")
+
+
+def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries with message, path, line and rule."""
+    return _entries(spark, sf_dir)
+
+
+def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mined line templates and how many lines each covers."""
+    return logmine.mine(table(spark, sf_dir, "diag_lines")).selectExpr("bucket", "array_join(template, '') as template", "n", "size(heads) > 0 as begins_entry")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entries": p2_entries, "p2_templates": p2_templates, "p3_found": p3_found, "p5_found": p5_found, "p5_admitted": p5_admitted} | {f"p3_{n}": _entity(n) for n in ENTITIES} | {f"p1_{s.name}": _store_table(s) for s in STORES}
 
 _UUID = r"regexp_replace(regexp_replace(lower(regexp_replace(event_id, '^\s+|\s+$', '', 'g')), '^\{?(urn:uuid:)?\{?|\}$', '', 'g'), '-', '', 'g')"
 _RANKED = f"""

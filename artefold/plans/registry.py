@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from artefold.plans import p_queries
+from artefold.plans import context_queries, coverage_queries, native_queries, p_queries, text_queries
 
-MODULES = (p_queries,)
+MODULES = (p_queries, coverage_queries, text_queries, context_queries, native_queries)
 
 
 def queries() -> dict:

@@ -190,7 +190,8 @@ def _reach(a: list, b: list, most: int) -> list[int]:
         for d, starts in ways.items():
             for i in starts:
                 n = _snake(a, b, i, i + d)
-                if n and i + n > top:
+                # without a match to follow, the last words may be equal all the same: the edit is then moved before them
+                if i + n > top and (n or (i and i + d and a[i - 1] == b[i + d - 1])):
                     top = i + n
                 nxt[d] = max(nxt.get(d, 0), i + n)
         front = nxt
@@ -224,11 +225,13 @@ def verified(item: np.ndarray, doc: np.ndarray, spec: LeakSpec, item_runs: tuple
     for j, i in pairs:
         if (j - 1, i - 1) in pairs or a[i : i + RUN] != b[j : j + RUN]:
             continue  # inside a longer run, or a clash of hashes
-        ahead = _reach(a[i : i + 8 * (most + 4)], b[j : j + 8 * (most + 4) + most], most)
-        behind = _reach(a[max(0, i - 8 * (most + 4)) : i][::-1], b[max(0, j - 8 * (most + 4) - most) : j][::-1], most)
+        # both ways go through the whole run, so that an edit at its edge can change places with a word of it
+        run, far = _snake(a, b, i, j), spec.per_edit * (most + 4)
+        ahead = _reach(a[i : i + run + far], b[j : j + run + far + most], most)
+        behind = _reach(a[max(0, i - far) : i + run][::-1], b[max(0, j - far - most) : j + run][::-1], most)
         for e, more in enumerate(ahead):
             for f, less in enumerate(behind[: most + 1 - e]):
-                if more + less >= max(spec.stretch, spec.per_edit * (e + f)):
+                if more + less - run >= max(spec.stretch, spec.per_edit * (e + f)):
                     return True
     return False
 

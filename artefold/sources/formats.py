@@ -14,10 +14,19 @@ from artefold.operators.issues import path as clean_path
 from artefold.operators.issues import severity
 
 
-def read_files(spark: SparkSession, glob: str) -> DataFrame:
-    """``path, content`` of whole text files; an empty file is an error when its rows are read."""
-    rows = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return rows.filter(F.assert_true(F.length("content") > 0, F.concat(F.lit("empty input: "), "path")).isNull())
+def read_files(spark: SparkSession, glob: str, *, check_empty: bool = True) -> DataFrame:
+    """``path, content`` of whole text files.
+
+    An empty file is an error.  Spark leaves empty files out of its scans, so
+    they are looked for in the file listing; for very many files switch that
+    off, they then give no rows.
+    """
+    if check_empty:
+        at = spark._jvm.org.apache.hadoop.fs.Path(glob)
+        for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:
+            if f.isFile() and not f.getLen():
+                raise ValueError(f"empty input: {f.getPath()}")
+    return spark.read.format("binaryFile").load(glob).select("path", F.col("content").cast("string").alias("content"))
 
 
 def detect(files: DataFrame) -> DataFrame:
@@ -125,7 +134,7 @@ def cobertura_lines(files: DataFrame) -> DataFrame:
 def junit_timings(files: DataFrame, *, by_class: bool = False) -> DataFrame:
     """``test_id, duration_ms``: ``class.name`` or the class; seconds to whole milliseconds, negative ones are 0."""
     case = "testcase: array<struct<_classname: string, _name: string, _time: double>>"
-    x = _xml(files, "root", f"{case}, testsuite: array<struct<{case}>>")
+    x = _xml(files, "root", f"{case.replace(': ', ' ', 1)}, testsuite array<struct<{case}>>")
     cases = x.select(F.explode(F.concat(F.coalesce("x.testcase", F.array().cast("array<struct<_classname:string,_name:string,_time:double>>")), F.coalesce(F.flatten(F.expr("transform(x.testsuite, s -> s.testcase)")), F.array().cast("array<struct<_classname:string,_name:string,_time:double>>")))).alias("c"))
     key = F.col("c._classname") if by_class else F.concat_ws(".", F.nullif("c._classname", F.lit("")), "c._name")
     ms = F.greatest(F.round(F.coalesce(F.col("c._time"), F.lit(0.0)) * 1000), F.lit(0.0)).cast("bigint")

@@ -17,9 +17,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from artefold.operators.exactly_once import SeenStore, admitted_rows, canonical_uuid
 
 
+def _timed(events: DataFrame, at: str) -> DataFrame:
+    """Times without zone are read in the session's zone, as watermarks need."""
+    return events.withColumn(at, F.col(at).cast("timestamp"))
+
+
 def exactly_once_stream(events: DataFrame, *, late: str = "30 days", at: str = "delivered_at", key: str = "event_id") -> DataFrame:
     """The first arrival of each identifier; state is dropped once the watermark has passed it."""
-    return events.withColumn("__key", canonical_uuid(key)).filter("__key is not null").withWatermark(at, late).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
+    return _timed(events, at).withColumn("__key", canonical_uuid(key)).filter("__key is not null").withWatermark(at, late).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
 def admit_batches(store: SeenStore, sink: str):
@@ -34,12 +39,12 @@ def admit_batches(store: SeenStore, sink: str):
 
 
 def tumbling_stream(events: DataFrame, *, width: str = "6 hours", late: str = "1 day", at: str = "delivered_at") -> DataFrame:
-    w = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), "kind").agg(F.count("*").alias("n"))
+    w = _timed(events, at).withWatermark(at, late).groupBy(F.window(at, width).alias("w"), "kind").agg(F.count("*").alias("n"))
     return w.select(F.col("w.start").alias("start"), "kind", "n")
 
 
 def debounce_stream(events: DataFrame, *, gap: str = "10 minutes", late: str = "1 day", at: str = "delivered_at") -> DataFrame:
-    w = events.withWatermark(at, late).groupBy("task_id", F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"))
+    w = _timed(events, at).withWatermark(at, late).groupBy("task_id", F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"))
     return w.select("task_id", F.col("w.start").alias("first_at"), "n")
 
 

@@ -1,7 +1,9 @@
 """Streams give what the batch operators give."""
 
+from pyspark.sql import functions as F
+
 from artefold.operators import state as S
-from artefold.operators.exactly_once import SeenStore, admitted_rows
+from artefold.operators.exactly_once import SeenStore, admitted_rows, canonical_uuid
 from artefold.streaming import events as E
 
 
@@ -24,7 +26,7 @@ def test_snapshot_equals_batch(spark, small, tmp_path):
 
 def test_tumbling_counts_reach_the_batch_result(spark, small, tmp_path):
     _run(E.tumbling_stream(_stream(spark, small)), "tumbling", "complete", tmp_path)
-    batch = spark.read.parquet(f"{small}/agent_events.parquet")
+    batch = spark.read.parquet(f"{small}/agent_events.parquet").withColumn("delivered_at", F.col("delivered_at").cast("timestamp"))
     want = {tuple(r) for r in S.tumbling(batch, "delivered_at", "6 hours").collect()}
     assert {tuple(r) for r in spark.table("tumbling").collect()} == want
 
@@ -35,3 +37,12 @@ def test_batches_are_admitted_once(spark, small, tmp_path):
     q.awaitTermination(120)
     want = {r.delivery_id for r in admitted_rows(spark.read.parquet(f"{small}/agent_events.parquet")).collect()}
     assert {r.delivery_id for r in spark.read.parquet(f"{tmp_path}/out/batch=0").collect()} == want
+
+
+def test_exactly_once_and_bursts(spark, small, tmp_path):
+    _run(E.exactly_once_stream(_stream(spark, small)), "once", "append", tmp_path)
+    batch = spark.read.parquet(f"{small}/agent_events.parquet")
+    known = batch.select(canonical_uuid("event_id").alias("k")).filter("k is not null").distinct().count()
+    assert spark.table("once").count() == known
+    _run(E.debounce_stream(_stream(spark, small).filter("task_id is not null"), late="2 years"), "bursts", "append", tmp_path)
+    assert spark.table("bursts").count() == 0  # nothing is final before the watermark passes

@@ -11,7 +11,7 @@ its shares of the two budgets and a gap by the smaller of its free shares,
 so what a sweep matches fits in both.
 
 Groups of at most ``local_items`` items are packed by the same sweeps within
-one task, all others by distributed sweeps: bracket depths are prefix sums of
+one task (50,000 items are a few megabytes), all others by distributed sweeps: bracket depths are prefix sums of
 two levels, partners meet by (group, depth).
 """
 
@@ -153,7 +153,7 @@ def _new_bins(items: DataFrame, tops: DataFrame) -> DataFrame:
     return need.select("grp", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("bin"), F.lit(UNIT).cast("bigint").alias("gap"))
 
 
-def pack(items: DataFrame, *, local_items: int = 5_000) -> DataFrame:
+def pack(items: DataFrame, *, local_items: int = 50_000) -> DataFrame:
     """Containers for (grp bigint, item, tokens, bytes, budget_tokens, budget_bytes), one row for each item or piece.
 
     Adds ``piece``, ``bin`` and the space left in the container,
@@ -168,7 +168,9 @@ def pack(items: DataFrame, *, local_items: int = 5_000) -> DataFrame:
     slim = cut.select(*ITEM_FIELDS)
     kind = {f.name: f.dataType.simpleString() for f in slim.schema}
     schema = ", ".join(f"{c} {kind[c]}" for c in ITEM_FIELDS) + ", bin bigint"
-    small = slim.join(counts.filter(F.col("n") <= local_items).select("grp"), "grp", "left_semi").groupBy("grp").applyInPandas(_pack_small, schema)
+    spark = items.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # small rows, much work: not coalesced
+    small = slim.join(counts.filter(F.col("n") <= local_items).select("grp"), "grp", "left_semi").repartition(tasks, "grp").groupBy("grp").applyInPandas(_pack_small, schema)
     big_groups = written(counts.filter(F.col("n") > local_items).select("grp"), "pack-big")
     placed = small
     if not big_groups.isEmpty():

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from artefold.plans import context_queries, coverage_queries, native_queries, p_queries, text_queries
+from artefold.plans import broker_queries, context_queries, coverage_queries, native_queries, p_queries, text_queries
 
-MODULES = (p_queries, coverage_queries, text_queries, context_queries, native_queries)
+MODULES = (p_queries, coverage_queries, text_queries, context_queries, native_queries, broker_queries)
+
+
+#: Operators that users add: name -> function of (session, folder), like all queries here.
+ADDED: dict = {}
+
+
+def register(name: str, run) -> None:
+    """Add a reducer or query under a name; it is then part of ``queries()``."""
+    if name in queries():
+        raise ValueError(f"{name} is taken")
+    ADDED[name] = run
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | ADDED
 
 
 def oracle_sql() -> dict:

@@ -45,3 +45,13 @@ def test_equals_sql(spark, small, duck, name):
 
 def test_names_are_unique_and_sql_has_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_registering(spark):
+    registry.register("own_query", lambda s, d: s.range(3))
+    try:
+        assert registry.queries()["own_query"](spark, "").count() == 3
+        with pytest.raises(ValueError):
+            registry.register("own_query", None)
+    finally:
+        registry.ADDED.clear()

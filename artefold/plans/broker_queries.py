@@ -115,7 +115,7 @@ ORACLE = {
     "diff_vs_stack_with_map": _T + """, e as (select distinct paths[1] as a, paths[2] as b from agent_events where len(paths) >= 2), b2 as (select a, b from e union select b, a from e), n as (select distinct r.grp, r.packet from r join b2 on r.path = b2.a join c on c.grp = r.grp and c.path = b2.b),
  q as (select p.*, case when (grp, packet) in (select (grp, packet) from h) then 'related' when (grp, packet) in (select (grp, packet) from n) then 'possibly_related' else 'unrelated' end as relation from p) select *, case relation when 'related' then 0.92 when 'unrelated' then 0.86 else 0.62 end::double as confidence from q""",
     "packet_trim": tq._LOGS + f", k as (select log as grp, line_no as ord, strlen(text) as size, {tq._CLASS.format('text')} as kind from logs), u as (select *, sum(size) over (partition by grp order by case kind when 'error' then 100 when 'warning' then 90 when 'git_change' then 80 when 'path' then 70 else 50 end desc, ord rows unbounded preceding) as used from k) select grp, kind, count(*) filter (where used <= 2500) as kept from u group by 1, 2",
-    "report_markdown": cq._M + " select path, format('| {} | {} | {} | {:.1f}% | {} |', path, covered, instrumented, pct, case when pct >= 80 then 'green' when pct >= 60 then 'yellow' else 'red' end) as text from files",
+    "report_markdown": cq._M + " select path, format('| {} | {} | {} | {:.1f}% | {} |', path, covered, instrumented, floor(pct * 10) / 10, case when pct >= 80 then 'green' when pct >= 60 then 'yellow' else 'red' end) as text from files",
     "report_annotations": cq._I + ", m as (select n.*, i.message from norm n join issues i using (issue_id)) select issue_id, concat('::', case severity when 'error' then 'error' when 'warning' then 'warning' else 'notice' end, ' file=', replace(path, '%', '%25'), ',line=', line, '::', replace(replace(replace(coalesce(message, ''), '%', '%25'), chr(13), '%0D'), chr(10), '%0A')) as text from m",
     "run_length_without_time": tq._LOGS + f", x as (select *, case when regexp_matches(text, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') then substr(text, 20) else text end as body from logs), k as (select *, {tq._CLASS.format('body')} as k from x), s as (select *, case when lag(line_no) over w is null or k is distinct from lag(k) over w then 1 else 0 end as f from k window w as (partition by log order by line_no)), r as (select *, sum(f) over (partition by log order by line_no) as run from s), g as (select log, run, count(*) as n from r group by 1, 2) select log, count(*) as runs, max(n) as longest from g group by 1",
 }

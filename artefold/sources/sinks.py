@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def markdown_coverage(files: DataFrame) -> DataFrame:
-    """``ord, text``: one table row per file, green from 80, yellow from 60."""
+    """``path, text``: one table row per file, percentages cut to one place, green from 80, yellow from 60."""
     mark = F.when(F.col("pct") >= 80, "green").when(F.col("pct") >= 60, "yellow").otherwise("red")
-    return files.select("path", F.format_string("| %s | %d | %d | %.1f%% | %s |", "path", "covered", "instrumented", F.coalesce("pct", F.lit(0.0)), mark).alias("text"))
+    return files.select("path", F.format_string("| %s | %d | %d | %.1f%% | %s |", "path", "covered", "instrumented", F.floor(F.coalesce("pct", F.lit(0.0)) * 10) / 10, mark).alias("text"))
 
 
 def annotation(issue_severity: Column) -> Column:

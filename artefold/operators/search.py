@@ -69,23 +69,44 @@ def plan(pattern: str) -> Plan:
     return walk(tree)
 
 
-def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``gram, id``: each distinct trigram of each document, written by callers partitioned on ``gram``."""
-    return docs.filter(F.length(text_col) >= 3).select(F.col(id_col).alias("id"), F.explode(trigrams(F.col(text_col))).alias("gram"))
+def needed(formula: Plan) -> tuple[str, ...]:
+    """The grams a formula speaks of."""
+    return tuple(dict.fromkeys((*formula.grams, *(g for p in formula.parts for g in needed(p)))))
+
+
+def index(docs: DataFrame, id_col: str, text_col: str, *, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``gram, id``: each distinct trigram of each document.
+
+    A store writes all of them once, partitioned on ``gram``; without a store
+    the postings of the ``only`` few grams a search needs are found by plain
+    containment, which is much cheaper than listing every gram of every text.
+    """
+    text = F.col(text_col)
+    grams = trigrams(text) if only is None else F.filter(F.array(*[F.lit(g) for g in only]), lambda g: F.contains(text, g))
+    return docs.filter(F.length(text_col) >= 3).select(F.col(id_col).alias("id"), F.explode(grams).alias("gram"))
 
 
 def candidates(grams: DataFrame, formula: Plan) -> DataFrame | None:
-    """``id`` of documents that satisfy the formula; None where it excludes nothing."""
+    """``id`` of documents that satisfy the formula; None where it excludes nothing.
+
+    One pass over the postings: a document's needed grams, bounded by the
+    pattern, are gathered and the formula is evaluated on them.
+    """
     if formula.kind == "all":
         return None
-    if formula.kind == "grams":
-        held = grams.filter(F.col("gram").isin(*formula.grams)).groupBy("id").agg(F.countDistinct("gram").alias("n"))
-        return held.filter(F.col("n") == len(formula.grams)).select("id")
-    parts = [candidates(grams, p) for p in formula.parts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "id", "left_semi") if formula.kind == "and" else out.unionByName(p).distinct()
-    return out
+
+    def holds(f: Plan):
+        if f.kind == "grams":
+            parts = [F.array_contains("held", g) for g in f.grams]
+        else:
+            parts = [holds(p) for p in f.parts]
+        out = parts[0]
+        for p in parts[1:]:
+            out = (out | p) if f.kind == "or" else (out & p)
+        return out
+
+    held = grams.filter(F.col("gram").isin(*needed(formula))).groupBy("id").agg(F.collect_set("gram").alias("held"))
+    return held.filter(holds(formula)).select("id")
 
 
 def verify(lines: DataFrame, pattern: str, *, fixed: bool = False) -> DataFrame:
@@ -95,7 +116,8 @@ def verify(lines: DataFrame, pattern: str, *, fixed: bool = False) -> DataFrame:
 
 def indexed_search(docs: DataFrame, id_col: str, text_col: str, pattern: str, *, grams: DataFrame | None = None) -> DataFrame:
     """``id, line_no, text`` of all matching lines, found through the index."""
-    found = candidates(index(docs, id_col, text_col) if grams is None else grams, plan(pattern))
+    formula = plan(pattern)
+    found = candidates(index(docs, id_col, text_col, only=needed(formula)) if grams is None else grams, formula)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     if found is not None:
         rows = rows.join(found, "id", "left_semi")

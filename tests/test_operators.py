@@ -85,7 +85,9 @@ def test_indexed_search_equals_scan(spark):
     docs = spark.createDataFrame([(1, "fn write_cache\nfn read"), (2, "write only"), (3, None), (4, "xx read_index into\n")], "doc_id long, text string")
     scan = lambda p: {(r.doc_id, r.pos + 1) for r in docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t")).filter(F.col("t").rlike(p)).collect()}
     for p in ("write", "(write|read)_[a-z]+", "re.d", "^fn", "nothing here", "cache|index"):
-        assert {(r.id, r.line_no) for r in X.indexed_search(docs, "doc_id", "text", p).collect()} == scan(p), p
+        stored = X.index(docs, "doc_id", "text")
+        for grams in (None, stored):
+            assert {(r.id, r.line_no) for r in X.indexed_search(docs, "doc_id", "text", p, grams=grams).collect()} == scan(p), p
 
 
 def test_levels_and_cycles(spark):

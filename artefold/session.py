@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,3 +49,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of all executors import this package, once per context.
+
+    Nothing is done where ``PYTHONPATH`` already names the folder it lies in.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(spark.sparkContext, "_artefold_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    spark.sparkContext._artefold_shipped = True
+    folder = tempfile.mkdtemp(prefix="artefold-package-")
+    skip = shutil.ignore_patterns("__pycache__")
+    shutil.copytree(os.path.join(root, "artefold"), os.path.join(folder, "in", "artefold"), ignore=skip)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "artefold_package"), "zip", os.path.join(folder, "in")))

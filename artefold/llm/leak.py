@@ -97,24 +97,28 @@ class Embedding:
         self.sampled = np.stack([np.sort(rng.choice(int(1.6 * spec.stretch), spec.bits, replace=False)) for _ in range(spec.tables)])
         self.names = rng.integers(1, 2**63, spec.tables, dtype=np.uint64)
 
-    def keys(self, codes: np.ndarray, starts: np.ndarray, table: int) -> np.ndarray:
-        """The key in ``table`` of the window at each of ``starts``: a hash of the sampled coordinates.
+    def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The keys of the window at each of ``starts``, one row per table: hashes of the sampled coordinates.
 
         At each step the walk writes the word it stands on and moves on if a
-        random bit of (step, word) says so; behind the end it writes 0.
+        random bit of (step, word) says so; behind the end it writes 0.  All
+        tables walk at once, over some thousands of windows at a time.
         """
-        width, n = self.spec.stretch, len(codes)
-        at = np.zeros(len(starts), np.int64)
-        wanted = set(self.sampled[table].tolist())
-        key = np.full(len(starts), self.names[table], np.uint64)
-        for step in range(self.sampled[table][-1] + 1):
+        parts = [self._keys(codes, starts[k : k + 8192]) for k in range(0, len(starts), 8192)]
+        return np.concatenate(parts, axis=1) if parts else np.empty((self.spec.tables, 0), np.uint64)
+
+    def _keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        width, last = self.spec.stretch, len(codes) - 1
+        at = np.zeros((self.spec.tables, len(starts)), np.int64)
+        key = np.repeat(self.names[:, None], len(starts), axis=1)
+        for step in range(self.sampled.max() + 1):
             inside = at < width
-            here = codes[np.minimum(starts + at, n - 1)]
-            here = np.where(inside, here, np.uint64(0))
-            if step in wanted:
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + here)
-            move = (_mix(here * self.salts[table, step]) >> np.uint64(40)) & np.uint64(1)
-            at += (move.astype(np.int64)) & inside
+            here = np.where(inside, codes[np.minimum(starts + at, last)], np.uint64(0))
+            wanted = np.flatnonzero((self.sampled == step).any(axis=1))
+            if len(wanted):
+                key[wanted] = _mix(key[wanted] * np.uint64(0x9E3779B97F4A7C15) + here[wanted])
+            move = (_mix(here * self.salts[:, step, None]) >> np.uint64(40)) & np.uint64(1)
+            at += move.astype(np.int64) & inside
         return key
 
 
@@ -144,8 +148,7 @@ class ItemBlock:
         starts = np.concatenate([b + np.arange(len(c) - spec.stretch + 1) for b, c in zip(base, block.texts)])
         item = np.concatenate([np.full(len(c) - spec.stretch + 1, k) for k, c in enumerate(block.texts)])
         owner = np.stack([item, starts - base[item]], axis=1).astype(np.int32)
-        for t in range(spec.tables):
-            keys = embedding.keys(joined, starts, t)
+        for keys in embedding.keys(joined, starts):
             order = np.argsort(keys, kind="stable")
             block.keys.append(keys[order])
             block.owners.append(owner[order])
@@ -258,8 +261,7 @@ def leaks(codes: np.ndarray, block: ItemBlock, embedding: Embedding) -> list[int
     if not len(starts):
         return []
     met: set[int] = set()
-    for t in range(spec.tables):
-        keys = embedding.keys(codes, starts, t)
+    for t, keys in enumerate(embedding.keys(codes, starts)):
         left = np.searchsorted(block.keys[t], keys, "left")
         right = np.searchsorted(block.keys[t], keys, "right")
         for k in np.flatnonzero(right > left):

@@ -110,8 +110,8 @@ def recall_postings(spark, d):
     return R.postings(_docs(spark, d), "doc_id", F.split("text", "\n"))
 
 
-def _queries(spark, d) -> DataFrame:
-    q = table(spark, d, "issues").filter("issue_id % 500 = 0 and message is not null")
+def _queries(spark, d, every: int = 500) -> DataFrame:
+    q = table(spark, d, "issues").filter(F.col("message").isNotNull() & (F.col("issue_id") % every == 0))
     return q.select(F.col("issue_id").alias("query_id"), F.explode(T.words(F.col("message"))).alias("term"))
 
 
@@ -119,6 +119,11 @@ def bm25_recall(spark, d):
     return R.best(R.bm25(recall_postings(spark, d), _queries(spark, d)), 8)
 
 
+def bm25_recall_whole(spark, d):
+    """All searches: every issue whose id is divisible by 20."""
+    return R.best_bm25(recall_postings(spark, d), _queries(spark, d, 20), 8)
+
+
 def _entries(spark, d) -> DataFrame:
     return table(spark, d, "packets").select(F.col("record_id").alias("id"), "packet_id", F.unix_timestamp("recorded_at").alias("created"), "kind", F.col("budget_cost.est_tokens").alias("est_tokens"))
 
@@ -181,7 +186,7 @@ QUERIES = {
     for f in (
         tokenize_terms, token_estimates, message_templates, line_fingerprints, path_like_words, summary_priority, inferred_relevance, text_truncated, ansi_stripped,
         run_length_collapse, blank_collapse, line_class_histogram, command_first_fit, stack_frames, stack_blocks, stack_slice, build_diagnostics, diagnostic_groups, output_counters,
-        recall_postings, bm25_recall, ttl_prune, latest_per_key, store_stats, store_page, recency_bonus,
+        recall_postings, bm25_recall, bm25_recall_whole, ttl_prune, latest_per_key, store_stats, store_page, recency_bonus,
         regex_search, trigram_search, fixed_search, search_shown, trigram_index_size, overlay_search,
     )
 }

@@ -102,7 +102,9 @@ def summary_priority(text: Column) -> Column:
 def trigrams(col: Column) -> Column:
     """The distinct three-character substrings."""
     n = F.length(col)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(col, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(F.sequence(F.lit(1), n - 2, F.lit(64)), lambda i: F.substring(col, i, F.lit(66)))  # a substring is found by counting from the start
+    grams = F.transform(parts, lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    return F.when(n >= 3, F.array_distinct(F.flatten(grams))).otherwise(F.array().cast("array<string>"))
 
 
 def usd(tokens: Column, per_million: float) -> Column:

@@ -9,7 +9,7 @@ from artefold.functions import text as T
 from artefold.operators import recall as R
 from artefold.operators import reduce as L
 from artefold.operators import search as X
-from artefold.session import table
+from artefold.session import table, written
 
 
 def _docs(spark, d) -> DataFrame:
@@ -161,7 +161,8 @@ def regex_search(spark, d):
 
 def trigram_search(spark, d):
     docs = _docs(spark, d).withColumn("text", F.regexp_replace("text", "\r", ""))
-    return X.indexed_search(docs, "doc_id", "text", PATTERN).select("id", "line_no")
+    grams = written(X.index(docs, "doc_id", "text"), "trigram-index")
+    return X.indexed_search(docs, "doc_id", "text", PATTERN, grams=grams).select("id", "line_no")
 
 
 def fixed_search(spark, d):
@@ -176,6 +177,11 @@ def trigram_index_size(spark, d):
     return X.index(_docs(spark, d).withColumn("text", F.substring_index("text", "\n", 1)), "doc_id", "text").groupBy("gram").agg(F.count("*").alias("docs"))
 
 
+def trigram_index_whole(spark, d):
+    """The document counts of all trigrams of the whole texts."""
+    return X.index(_docs(spark, d), "doc_id", "text").groupBy("gram").agg(F.count("*").alias("docs"))
+
+
 def overlay_search(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "path")
     return X.overlaid(docs.filter("doc_id % 7 <> 0"), docs.filter("doc_id % 5 = 0").withColumn("path", F.concat(F.lit("new/"), "path")), docs.filter("doc_id % 11 = 0"), "doc_id")
@@ -187,7 +193,7 @@ QUERIES = {
         tokenize_terms, token_estimates, message_templates, line_fingerprints, path_like_words, summary_priority, inferred_relevance, text_truncated, ansi_stripped,
         run_length_collapse, blank_collapse, line_class_histogram, command_first_fit, stack_frames, stack_blocks, stack_slice, build_diagnostics, diagnostic_groups, output_counters,
         recall_postings, bm25_recall, bm25_recall_whole, ttl_prune, latest_per_key, store_stats, store_page, recency_bonus,
-        regex_search, trigram_search, fixed_search, search_shown, trigram_index_size, overlay_search,
+        regex_search, trigram_search, fixed_search, search_shown, trigram_index_size, trigram_index_whole, overlay_search,
     )
 }
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE_FIELDS = "node_id bigint, parent_id bigint, label string, ordinal int, kind string, scalar string, node_path string, parent_path string, entity string"
+NODE_FIELDS = "node_id bigint, parent_id bigint, label string, ordinal int, kind string, scalar string, node_path string, parent_path string, entity string, owner_id bigint"
 
 #: The arrays whose elements are entities, below ``payload``.
 PAYLOAD_LISTS = (
@@ -81,9 +81,9 @@ def nodes(root: dict, spec: ShredSpec) -> Iterator[tuple]:
     """The rows of one document in document order; a JSON null is a node of kind ``null``."""
     lists, fixed = frozenset(spec.anywhere), frozenset(spec.fixed)
     number = 0
-    todo = [(root, None, None, None, "", "", None)]
+    todo = [(root, None, None, None, "", "", None, None)]
     while todo:
-        value, parent, label, ordinal, path, around, entity = todo.pop()
+        value, parent, label, ordinal, path, around, entity, owner = todo.pop()
         value = decoded(value)
         kind, me = _kind(value), number
         number += 1
@@ -92,8 +92,8 @@ def nodes(root: dict, spec: ShredSpec) -> Iterator[tuple]:
             scalar = value
         elif kind not in ("object", "array", "null"):
             scalar = json.dumps(value)
-        yield me, parent, label, ordinal, kind, scalar, path, around, entity if kind != "null" else None
-        inner = path if entity and kind != "null" else around
+        yield me, parent, label, ordinal, kind, scalar, path, around, entity if kind != "null" else None, owner
+        inner, holder = (path, me) if entity and kind != "null" else (around, owner)
         below = []
         if kind == "object":
             inside = path == spec.below or path.startswith(spec.below + "/")
@@ -102,21 +102,22 @@ def nodes(root: dict, spec: ShredSpec) -> Iterator[tuple]:
                 at = f"{path}/{k}"
                 if (path, k) in fixed or (inside and k in lists):
                     if isinstance(v, list):
-                        below += [(x, me, k, j, f"{at}/{j}", inner, k) for j, x in enumerate(v)]
+                        below += [(x, me, k, j, f"{at}/{j}", inner, k, holder) for j, x in enumerate(v)]
                         continue
                     if isinstance(v, dict):
-                        below.append((v, me, k, 0, f"{at}/0", inner, k))
+                        below.append((v, me, k, 0, f"{at}/0", inner, k, holder))
                         continue
-                below.append((v, me, k, i, at, inner, None))
+                below.append((v, me, k, i, at, inner, None, holder))
         elif kind == "array":
-            below = [(x, me, label, j, f"{path}/{j}", inner, None) for j, x in enumerate(value)]
+            below = [(x, me, label, j, f"{path}/{j}", inner, None, holder) for j, x in enumerate(value)]
         todo += reversed(below)
 
 
 def shred(df: DataFrame, *, body: str, keys: list[str], spec: ShredSpec = ShredSpec()) -> DataFrame:
     """The adjacency table of the JSON texts in ``body``: ``keys`` and the node columns.
 
-    ``entity`` names the list a node is an element of, else null.  Null and
+    ``entity`` names the list a node is an element of, else null; ``owner_id``
+    is the node of the nearest listed element around, at ``parent_path``.  Null and
     unreadable bodies give no rows; clashing column names in ``df`` do not
     matter, as only ``keys`` and ``body`` are read.
     """
@@ -160,24 +161,40 @@ def elements(adjacency: DataFrame, keys: list[str]) -> DataFrame:
 def entity_table(adjacency: DataFrame, entity: str, fields: dict[str, str], keys: list[str]) -> DataFrame:
     """One row for each element of ``entity``: keys, places, ``value`` and the scalar ``fields``.
 
-    ``fields`` maps a label to its type; text that cannot be cast gives null.
-    ``value`` is the text of an element that is itself a scalar.  Other scalar
-    children go to the JSON object ``rest``, so that none is lost.
-    Object nodes and their children meet on the document and node id.
+    ``fields`` maps a label to its type; text that cannot be cast gives null
+    and stands in ``rest``.  ``value`` is the text of an element that is itself
+    a scalar, or the field of that name.  Other scalar children go to the JSON
+    object ``rest``; scalars deeper in the element,
+    such as those of plain arrays and objects, to the JSON array ``nested`` of
+    their ``path`` below the element and ``value``, in document order.  So
+    none is lost.  What lies in a listed element inside belongs to that one.
+    Element nodes and what they own meet on the document and node id.
     """
-    own = adjacency.filter(F.col("entity") == entity).select(
-        *keys, "node_id", F.lit(None).cast("string").alias("label"), F.col("scalar"), "node_path", "parent_path", "ordinal"
+    own = F.col("entity").isNotNull()
+    path = F.expr("substring(node_path, length(parent_path) + 2)")
+    direct = ~F.col("own") & (F.col("path") == F.col("label"))
+    deeper = ~F.col("own") & (F.col("path") != F.col("label"))
+    rows = adjacency.filter((F.col("entity") == entity) | (F.col("entity").isNull() & F.col("scalar").isNotNull() & F.col("owner_id").isNotNull()))
+    rows = rows.select(*keys, F.when(own, F.col("node_id")).otherwise(F.col("owner_id")).alias("at"), own.alias("own"), path.alias("path"), "node_id", "label", "scalar", "node_path", "parent_path", "ordinal")
+    typed = F.lit(False)
+    for f, t in fields.items():
+        typed = typed | ((F.col("label") == f) & F.col("scalar").try_cast(t).isNotNull())
+    of = lambda c: F.max(F.when(F.col("own"), F.col(c)))
+    held = rows.groupBy(*keys, "at").agg(
+        of("node_path").alias("node_path"),
+        of("parent_path").alias("parent_path"),
+        of("ordinal").alias("ordinal"),
+        of("scalar").alias("value"),
+        *[F.max(F.when(direct & (F.col("label") == f), F.col("scalar"))).try_cast(t).alias(f"f_{f}") for f, t in fields.items()],
+        F.sort_array(F.collect_list(F.when(direct & ~typed, F.struct("label", "scalar")))).alias("__rest"),
+        F.sort_array(F.collect_list(F.when(deeper, F.struct("node_id", "path", F.col("scalar").alias("value"))))).alias("__nested"),
     )
-    child = adjacency.filter("scalar is not null and parent_id is not null and entity is null").select(
-        *keys, F.col("parent_id").alias("node_id"), "label", "scalar", F.lit(None).cast("string").alias("node_path"), F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("int").alias("ordinal")
-    )
-    held = own.unionByName(child).groupBy(*keys, "node_id").agg(
-        F.max("node_path").alias("node_path"),
-        F.max("parent_path").alias("parent_path"),
-        F.max("ordinal").alias("ordinal"),
-        F.max(F.when(F.col("label").isNull(), F.col("scalar"))).alias("value"),
-        *[F.expr(f"try_cast(max(case when label = '{f}' then scalar end) as {t})").alias(f"f_{f}") for f, t in fields.items()],
-        F.sort_array(F.collect_list(F.when(F.col("label").isNotNull() & ~F.col("label").isin(*fields), F.struct("label", "scalar")))).alias("__rest"),
-    )
-    rest = F.when(F.size("__rest") > 0, F.to_json(F.map_from_entries(F.expr("array_sort(array_distinct(transform(__rest, x -> struct(x.label as label, element_at(filter(__rest, y -> y.label = x.label), 1).scalar as scalar))))")))).alias("rest")
-    return held.filter("node_path is not null").select(*keys, "node_path", "parent_path", "ordinal", "value", *[F.col(f"f_{f}").alias(f) for f in fields], rest)
+    rest = F.when(F.size("__rest") > 0, F.to_json(F.map_from_entries("__rest"))).alias("rest")
+    nested = F.when(F.size("__nested") > 0, F.to_json(F.transform("__nested", lambda x: F.struct(x["path"].alias("path"), x["value"].alias("value"))))).alias("nested")
+    value = F.coalesce("value", "f_value").alias("value") if "value" in fields else F.col("value")
+    return held.filter("node_path is not null").select(*keys, "node_path", "parent_path", "ordinal", value, *[F.col(f"f_{f}").alias(f) for f in fields if f != "value"], rest, nested)
+
+
+def plain_scalars(adjacency: DataFrame, keys: list[str]) -> DataFrame:
+    """The scalars that lie in no listed element: ``keys, node_path, kind, value``."""
+    return adjacency.filter("entity is null and owner_id is null and scalar is not null").select(*keys, "node_path", "kind", F.col("scalar").alias("value"))

@@ -63,6 +63,22 @@ def _entity(name: str):
     return run
 
 
+#: The parts of a packet whose scalars outside the listed arrays have a table each.
+PARTS = {
+    "envelope": "node_path not like '/provenance/%' and node_path not like '/payload/%'",
+    "provenance": "node_path like '/provenance/%'",
+    "payload": "node_path like '/payload/%'",
+}
+
+
+def _part(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shred.plain_scalars(_adjacency(spark, sf_dir), ["packet_id"]).filter(PARTS[name])
+
+    run.__doc__ = f"The scalars of the {name} outside the listed arrays, by packet and place."
+    return run
+
+
 #: Target schemas of the three kinds of state files.
 STORES = (
     drift.Store(
@@ -120,7 +136,7 @@ def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logmine.mine(table(spark, sf_dir, "diag_lines")).selectExpr("bucket", "array_join(template, '') as template", "n", "size(heads) > 0 as begins_entry")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entries": p2_entries, "p2_templates": p2_templates, "p3_found": p3_found, "p5_found": p5_found, "p5_admitted": p5_admitted} | {f"p3_{n}": _entity(n) for n in ENTITIES} | {f"p1_{s.name}": _store_table(s) for s in STORES}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entries": p2_entries, "p2_templates": p2_templates, "p3_found": p3_found, "p5_found": p5_found, "p5_admitted": p5_admitted} | {f"p3_{n}": _entity(n) for n in ENTITIES} | {f"p3_{n}": _part(n) for n in PARTS} | {f"p1_{s.name}": _store_table(s) for s in STORES}
 
 _UUID = r"regexp_replace(regexp_replace(lower(regexp_replace(event_id, '^\s+|\s+$', '', 'g')), '^\{?(urn:uuid:)?\{?|\}$', '', 'g'), '-', '', 'g')"
 _RANKED = f"""

@@ -10,9 +10,12 @@ Sizes have two dimensions, tokens and bytes.  An item counts by the larger of
 its shares of the two budgets and a gap by the smaller of its free shares,
 so what a sweep matches fits in both.
 
-Groups of at most ``local_items`` items are packed by the same sweeps within
-one task (50,000 items are a few megabytes), all others by distributed sweeps: bracket depths are prefix sums of
-two levels, partners meet by (group, depth).
+Larger groups are swept in distributed form: bracket depths are prefix sums of
+two levels, partners meet by (group, depth).  Once at most ``local_items``
+items of a group are left (50,000 are a few megabytes), the same sweeps go on
+within one task from the gaps reached.  Both take item by item in one order,
+so the containers do not depend on where a sweep runs.  Items of size 0 go to
+the first container.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 from artefold.session import written
 
 UNIT = 1 << 20  # size of a container in sweeps; items are rounded up, gaps down
-BUNDLE = UNIT // 8  # small items are swept in bundles of up to this size
 SEGMENT = 10  # sizes that agree but for so many bits share a segment
 ITEM_FIELDS = ["grp", "item", "piece", "tokens", "bytes", "size"]
 
@@ -66,13 +68,14 @@ def sweep(sizes: np.ndarray, gaps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All sweeps of one small group; ``bin`` is added. Bins are numbered from 0."""
+def pack_group(pdf: pd.DataFrame, gaps: np.ndarray | None = None) -> pd.DataFrame:
+    """All sweeps of one group, from the ``gaps`` of its containers if it has any; ``bin`` is added. Bins are numbered from 0."""
     pdf = pdf.sort_values(["size", "item", "piece"], kind="stable").reset_index(drop=True)
     size = pdf["size"].to_numpy(np.int64)
     bins = np.full(len(pdf), -1, np.int64)
     left = np.arange(len(pdf))
-    gaps = np.full(max(1, -(-int(size.sum()) // UNIT)), UNIT, np.int64)
+    if gaps is None:
+        gaps = np.full(max(1, -(-int(size.sum()) // UNIT)), UNIT, np.int64)
     while len(left):
         order = np.argsort(gaps, kind="stable")
         pairs = sweep(size[left], gaps[order])
@@ -86,27 +89,14 @@ def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(bin=bins)
 
 
-def _bundled(items: DataFrame) -> DataFrame:
-    """Adds ``bundle``: small items of a group share one where their running size stays within ``BUNDLE``.
-
-    Runs are cut inside hash buckets, so no group is gathered.
-    """
-    salt = F.pmod(F.xxhash64("item", "piece"), F.lit(256))
-    inside = Window.partitionBy("grp", "__salt").orderBy("item", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    small = items.filter(F.col("size") < BUNDLE // 2).withColumn("__salt", salt)
-    run = (F.coalesce(F.sum("size").over(inside), F.lit(0)) / (BUNDLE // 2)).cast("bigint")
-    small = small.withColumn("bundle", F.concat_ws("/", F.lit("s"), "__salt", run)).drop("__salt")
-    large = items.filter(F.col("size") >= BUNDLE // 2).withColumn("bundle", F.concat_ws("/", F.lit("l"), "item", "piece"))
-    return large.unionByName(small)
-
-
 def _matched(items: DataFrame, bins: DataFrame) -> DataFrame:
-    """(grp, bundle, bin) of one distributed sweep over items (grp, bundle, size) and bins (grp, bin, gap)."""
-    events = items.select("grp", F.col("size").alias("at"), F.lit(0).alias("kind"), F.col("bundle").alias("name"), F.lit(None).cast("bigint").alias("bin")).unionByName(
-        bins.filter("gap > 0").select("grp", F.col("gap").alias("at"), F.lit(1).alias("kind"), F.lit("").alias("name"), "bin")
+    """(grp, item, piece, size, bin) of one distributed sweep over items (grp, item, piece, size) and bins (grp, bin, gap)."""
+    none = lambda c: F.lit(None).cast(items.schema[c].dataType).alias(c)
+    events = items.select("grp", F.col("size").alias("at"), F.lit(0).alias("kind"), "item", "piece", F.lit(None).cast("bigint").alias("bin")).unionByName(
+        bins.filter("gap > 0").select("grp", F.col("gap").alias("at"), F.lit(1).alias("kind"), none("item"), none("piece"), "bin")
     )
     events = events.withColumn("seg", F.shiftright("at", SEGMENT)).withColumn("step", F.when(F.col("kind") == 0, 1).otherwise(-1))
-    order = ["at", "kind", "name", "bin"]
+    order = ["at", "kind", "item", "piece", "bin"]
     inside = Window.partitionBy("grp", "seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("grp").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     ends = events.groupBy("grp", "seg").agg(F.sum("step").alias("sum")).select("grp", "seg", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
@@ -115,35 +105,34 @@ def _matched(items: DataFrame, bins: DataFrame) -> DataFrame:
     events = events.withColumn("depth", depth)
     level = Window.partitionBy("grp", "depth").orderBy(*order)
     pairs = events.withColumns({"next_kind": F.lead("kind").over(level), "next_bin": F.lead("bin").over(level)})
-    return pairs.filter("kind = 0 and next_kind = 1").select("grp", F.col("name").alias("bundle"), F.col("next_bin").alias("bin"))
+    return pairs.filter("kind = 0 and next_kind = 1").select("grp", "item", "piece", F.col("at").alias("size"), F.col("next_bin").alias("bin"))
 
 
-def pack_distributed(items: DataFrame, *, most_rounds: int = 200) -> DataFrame:
-    """``items`` with ``bin``, by distributed sweeps until every item has one."""
+def pack_distributed(items: DataFrame, *, local_items: int = 0) -> DataFrame:
+    """``items`` with ``bin``, by distributed sweeps until each group has at most ``local_items`` left, then within its task."""
     spark = items.sparkSession
-    whole = written(_bundled(items), "pack-items")
-    left = whole.groupBy("grp", "bundle").agg(F.sum("size").alias("size"))
+    key = ["grp", "item", "piece"]
+    whole = written(items, "pack-items")
+    left, done = whole.select(*key, "size"), []
     bins = written(_new_bins(left, spark.createDataFrame([], "grp bigint, top bigint")), "pack-bins")
-    left, done = written(left, "pack-left"), []
-    for _ in range(most_rounds):
+    while not left.groupBy("grp").count().filter(F.col("count") > local_items).isEmpty():
         pairs = written(_matched(left, bins), "pack-pairs")
-        sized = pairs.join(left, ["grp", "bundle"])
-        done.append(pairs)
-        took = sized.groupBy("grp", "bin").agg(F.sum("size").alias("took"))
+        done.append(pairs.select(*key, "bin"))
+        took = pairs.groupBy("grp", "bin").agg(F.sum("size").alias("took"))
         bins = bins.join(took, ["grp", "bin"], "left").select("grp", "bin", (F.col("gap") - F.coalesce("took", F.lit(0))).alias("gap"))
-        left = written(left.join(pairs, ["grp", "bundle"], "left_anti"), "pack-left")
-        if left.isEmpty():
-            break
-        # what exceeds every gap of its group needs new containers
-        tops = bins.groupBy("grp").agg(F.max("gap").alias("most"), F.max("bin").alias("top"))
-        lost = left.join(tops, "grp").filter("size > most").select("grp", "bundle", "size")
-        bins = written(bins.unionByName(_new_bins(lost, tops.select("grp", "top"))), "pack-bins")
-    else:
-        raise RuntimeError("items are left after the most rounds")
-    placed = done[0]
-    for more in done[1:]:
+        left = written(left.join(pairs, key, "left_anti"), "pack-left")
+        # a group of which nothing found a gap needs new containers
+        stuck = left.join(took.select("grp").distinct(), "grp", "left_anti")
+        bins = written(bins.unionByName(_new_bins(stuck, bins.groupBy("grp").agg(F.max("bin").alias("top")))), "pack-bins")
+    kind = {f.name: f.dataType.simpleString() for f in whole.schema}
+
+    def rest(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return pack_group(pdf, own.sort_values("bin")["gap"].to_numpy(np.int64, copy=True))[[*key, "bin"]] if len(pdf) else pdf.assign(bin=0)[[*key, "bin"]]
+
+    placed = left.groupBy("grp").cogroup(bins.groupBy("grp")).applyInPandas(rest, ", ".join(f"{c} {kind[c]}" for c in key) + ", bin bigint")
+    for more in done:
         placed = placed.unionByName(more)
-    return whole.join(placed, ["grp", "bundle"]).drop("bundle")
+    return whole.join(placed, key)
 
 
 def _new_bins(items: DataFrame, tops: DataFrame) -> DataFrame:
@@ -164,17 +153,17 @@ def pack(items: DataFrame, *, local_items: int = 50_000) -> DataFrame:
     """
     rows = items.withColumns({c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("bigint") for c in ("tokens", "bytes")})
     cut = written(pieces(rows).withColumn("size", F.greatest("size", F.lit(0))), "pack-pieces")
-    counts = cut.groupBy("grp").agg(F.count("*").alias("n"))
-    slim = cut.select(*ITEM_FIELDS)
+    counts = cut.filter("size > 0").groupBy("grp").agg(F.count("*").alias("n"))
+    slim = cut.filter("size > 0").select(*ITEM_FIELDS)
     kind = {f.name: f.dataType.simpleString() for f in slim.schema}
     schema = ", ".join(f"{c} {kind[c]}" for c in ITEM_FIELDS) + ", bin bigint"
     spark = items.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # small rows, much work: not coalesced
     small = slim.join(counts.filter(F.col("n") <= local_items).select("grp"), "grp", "left_semi").repartition(tasks, "grp").groupBy("grp").applyInPandas(_pack_small, schema)
     big_groups = written(counts.filter(F.col("n") > local_items).select("grp"), "pack-big")
-    placed = small
+    placed = small.unionByName(cut.filter("size = 0").select(*ITEM_FIELDS, F.lit(0).cast("bigint").alias("bin")))
     if not big_groups.isEmpty():
-        placed = small.unionByName(pack_distributed(slim.join(big_groups, "grp", "left_semi")).select(*ITEM_FIELDS, "bin"))
+        placed = placed.unionByName(pack_distributed(slim.join(big_groups, "grp", "left_semi"), local_items=local_items).select(*ITEM_FIELDS, "bin"))
     placed = written(placed, "pack-placed")
     used = placed.groupBy("grp", "bin").agg(F.sum("tokens").alias("used_tokens"), F.sum("bytes").alias("used_bytes"))
     budgets = cut.groupBy("grp").agg(F.max("budget_tokens").alias("budget_tokens"), F.max("budget_bytes").alias("budget_bytes"))

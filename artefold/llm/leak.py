@@ -2,16 +2,20 @@
 
 A case is a pair of document and test item where the document reproduces a
 stretch of at least ``stretch`` running words of the item with at most one
-word in ``per_edit`` replaced, dropped or added.
+word in ``per_edit`` replaced, dropped or added, and in it at least ``RUN``
+equal words in a row that are the item's own.  Not its own are the words of
+stock passages: runs of fewer than ``stock_words`` words that ``stock_items``
+or more different item texts share.  So an instruction sentence with a word that
+happens to agree behind it is no case of all items that begin with it.
 
 Candidates: windows of ``stretch`` words of items and documents are embedded
 by CGK random walks, which turn a small edit distance into a small Hamming
 distance, and hashed by sampled coordinates of the embedding; ``tables``
 independent walks and samples bring the recall of a single window above the
-target.  A document is verified exactly, by alignment, around every collision.
-
-All of it happens where the document is read: the items are a stated query
-set, taken in blocks of bounded size, and no window leaves its task.
+target.  Documents are read once, whatever the number of items: a bitmap of
+bounded size holds the keys of all items, and of documents with a key in it
+the word codes and those keys are written.  Keys of documents and items then
+meet in a join, and every candidate pair is verified exactly, by alignment.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,9 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from artefold.session import written
+
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
+_ATTRIBUTE = r"""\s+[\w:@.-]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+))?"""
+_TAG = re.compile(rf"</?[A-Za-z][\w:.-]*(?:{_ATTRIBUTE})*\s*/?>|<!--.*?-->", re.S)
 _WRAPPED = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?:(?:>|\||\*|#|//|--)[ \t]*)*(?=[^\W\d_])")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrtbf])|\\(?=\W)")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -64,14 +71,20 @@ def words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class LeakSpec:
-    """``tables`` and ``bits`` set recall against work; tests/llm measures the recall."""
+    """``tables`` and ``bits`` set recall against work; tests/llm measures the recall.
+
+    ``filter_bits`` bounds the bitmaps sent to all tasks (64 MB each); a
+    fuller bitmap lets more documents through and loses none.
+    """
 
     stretch: int = 12
     per_edit: int = 8
     tables: int = 16
     bits: int = 7
     seed: int = 7
-    block_windows: int = 400_000
+    stock_items: int = 3
+    stock_words: int = 24
+    filter_bits: int = 1 << 29
 
 
 def word_codes(tokens: list[str]) -> np.ndarray:
@@ -97,62 +110,35 @@ class Embedding:
         self.sampled = np.stack([np.sort(rng.choice(int(1.6 * spec.stretch), spec.bits, replace=False)) for _ in range(spec.tables)])
         self.names = rng.integers(1, 2**63, spec.tables, dtype=np.uint64)
 
-    def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def keys(self, codes: np.ndarray, starts: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The keys of the window at each of ``starts``, one row per table: hashes of the sampled coordinates.
 
+        Second, whether a sampled coordinate is a word of ``own``, a mask of the words.
+
         At each step the walk writes the word it stands on and moves on if a
         random bit of (step, word) says so; behind the end it writes 0.  All
         tables walk at once, over some thousands of windows at a time.
         """
-        parts = [self._keys(codes, starts[k : k + 8192]) for k in range(0, len(starts), 8192)]
-        return np.concatenate(parts, axis=1) if parts else np.empty((self.spec.tables, 0), np.uint64)
+        own = np.ones(len(codes), bool) if own is None else own
+        parts = [self._keys(codes, starts[k : k + 8192], own) for k in range(0, len(starts), 8192)]
+        none = np.empty((self.spec.tables, 0))
+        return (np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts], axis=1)) if parts else (none.astype(np.uint64), none.astype(bool))
 
-    def _keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _keys(self, codes: np.ndarray, starts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width, last = self.spec.stretch, len(codes) - 1
         at = np.zeros((self.spec.tables, len(starts)), np.int64)
         key = np.repeat(self.names[:, None], len(starts), axis=1)
+        met = np.zeros(key.shape, bool)
         for step in range(self.sampled.max() + 1):
             inside = at < width
             here = np.where(inside, codes[np.minimum(starts + at, last)], np.uint64(0))
             wanted = np.flatnonzero((self.sampled == step).any(axis=1))
             if len(wanted):
                 key[wanted] = _mix(key[wanted] * np.uint64(0x9E3779B97F4A7C15) + here[wanted])
+                met[wanted] |= (inside & own[np.minimum(starts + at, last)])[wanted]
             move = (_mix(here * self.salts[:, step, None]) >> np.uint64(40)) & np.uint64(1)
             at += move.astype(np.int64) & inside
-        return key
-
-
-@dataclass
-class ItemBlock:
-    """Embedded items: per table, sorted keys with the (item, start) they belong to."""
-
-    ids: list
-    texts: list[np.ndarray]
-    vocabulary: np.ndarray
-    keys: list[np.ndarray] = field(default_factory=list)
-    owners: list[np.ndarray] = field(default_factory=list)
-    runs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    @classmethod
-    def of(cls, items: list[tuple], spec: LeakSpec) -> ItemBlock:
-        """``items``: (id, text); those with fewer words than a stretch can have no case."""
-        coded = [(i, word_codes(words(t))) for i, t in items]
-        coded = [(i, c) for i, c in coded if len(c) >= spec.stretch]
-        block = cls([i for i, _ in coded], [c for _, c in coded], np.unique(np.concatenate([c for _, c in coded])) if coded else np.empty(0, np.uint64))
-        if not coded:
-            return block
-        block.runs = [_sorted_runs(c) for c in block.texts]
-        embedding = Embedding(spec)
-        joined = np.concatenate(block.texts)
-        base = np.cumsum([0] + [len(c) for c in block.texts[:-1]])
-        starts = np.concatenate([b + np.arange(len(c) - spec.stretch + 1) for b, c in zip(base, block.texts)])
-        item = np.concatenate([np.full(len(c) - spec.stretch + 1, k) for k, c in enumerate(block.texts)])
-        owner = np.stack([item, starts - base[item]], axis=1).astype(np.int32)
-        for keys in embedding.keys(joined, starts):
-            order = np.argsort(keys, kind="stable")
-            block.keys.append(keys[order])
-            block.owners.append(owner[order])
-        return block
+        return key, met
 
 
 RUN = 5  # a case of 12 words or more has so many equal words in a row; see ``verified``
@@ -202,8 +188,8 @@ def _reach(a: list, b: list, most: int) -> list[int]:
     return best
 
 
-def verified(item: np.ndarray, doc: np.ndarray, spec: LeakSpec, item_runs: tuple[np.ndarray, np.ndarray] | None = None, doc_runs: np.ndarray | None = None) -> bool:
-    """Whether ``doc`` has a stretch of ``item`` as the case wants, exactly.
+def verified(item: np.ndarray, doc: np.ndarray, spec: LeakSpec, own: np.ndarray | None = None) -> bool:
+    """Whether ``doc`` has a stretch of ``item`` as the case wants, exactly; ``own`` masks the words of the item that are no stock.
 
     The stretch begins and ends on equal words; with n item words and e edits
     it is a case if n is at least ``stretch`` and ``per_edit`` times e at most
@@ -218,17 +204,24 @@ def verified(item: np.ndarray, doc: np.ndarray, spec: LeakSpec, item_runs: tuple
     these up, n stays below 8e for every grouping of e > 3 edits.
     """
     most = 3 if (spec.stretch, spec.per_edit) == (12, 8) else len(item) // spec.per_edit
-    sorted_runs, order = item_runs if item_runs is not None else _sorted_runs(item)
-    runs = doc_runs if doc_runs is not None else _run_keys(doc)
+    sorted_runs, order = _sorted_runs(item)
+    runs = _run_keys(doc)
     left, right = np.searchsorted(sorted_runs, runs, "left"), np.searchsorted(sorted_runs, runs, "right")
     pairs = {(int(j), int(i)) for j in np.flatnonzero(right > left) for i in order[left[j] : right[j]]}
-    if not pairs:
+    if own is not None:
+        counted = set(own_runs(own).tolist())
+        seeds = {(j, i) for j, i in pairs if i in counted}
+    else:
+        seeds = pairs
+    if not seeds:
         return False
     a, b = item.tolist(), doc.tolist()
-    for j, i in pairs:
-        if (j - 1, i - 1) in pairs or a[i : i + RUN] != b[j : j + RUN]:
+    for j, i in seeds:
+        if (j - 1, i - 1) in seeds or a[i : i + RUN] != b[j : j + RUN]:
             continue  # inside a longer run, or a clash of hashes
         # both ways go through the whole run, so that an edit at its edge can change places with a word of it
+        while i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
         run, far = _snake(a, b, i, j), spec.per_edit * (most + 4)
         ahead = _reach(a[i : i + run + far], b[j : j + run + far + most], most)
         behind = _reach(a[max(0, i - far) : i + run][::-1], b[max(0, j - far - most) : j + run][::-1], most)
@@ -245,68 +238,146 @@ def _sorted_runs(item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], order
 
 
-def leaks(codes: np.ndarray, block: ItemBlock, embedding: Embedding) -> list[int]:
-    """The positions in ``block`` of the items that the document ``codes`` leaks."""
+def own_words(n: int, stock: np.ndarray, spec: LeakSpec) -> np.ndarray:
+    """A mask of ``n`` words, false in stock passages; ``stock`` are the places of shared runs of ``RUN`` words, ascending."""
+    own = np.ones(n, bool)
+    for part in np.split(stock, np.flatnonzero(np.diff(stock) != 1) + 1) if len(stock) else []:
+        if part[-1] - part[0] + RUN < spec.stock_words:
+            own[part[0] : part[-1] + RUN] = False
+    return own
+
+
+def own_runs(own: np.ndarray) -> np.ndarray:
+    """Where ``RUN`` own words in a row begin."""
+    sums = np.concatenate([[0], np.cumsum(own)])
+    return np.flatnonzero(sums[RUN:] - sums[:-RUN] == RUN)
+
+
+def _signed(codes: np.ndarray) -> np.ndarray:
+    return codes.astype(np.uint64).view(np.int64)
+
+
+def _unsigned(codes) -> np.ndarray:
+    return np.asarray(codes, np.int64).view(np.uint64)
+
+
+def prepared_items(items: DataFrame, spec: LeakSpec, *, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts (``tid, codes, stock``) and the items of each (``item, tid``).
+
+    Texts with fewer words than a stretch can have no case and are left out.
+    """
+    kind = items.schema[item_id].dataType.simpleString()
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, _signed(word_codes(words(t)))) for i, t in zip(pdf["item"], pdf["text"])]
+            yield pd.DataFrame([r for r in rows if len(r[1]) >= spec.stretch], columns=["item", "codes"])
+
+    given = items.select(F.col(item_id).alias("item"), F.col(text).alias("text")).filter("item is not null and text is not null").distinct()
+    coded = written(given.mapInPandas(code, f"item {kind}, codes array<bigint>"), "leak-coded")
+    texts = coded.groupBy("codes").agg(F.min("item").alias("first")).select(F.xxhash64("codes", "first").alias("tid"), "codes")
+    texts = written(texts, "leak-texts")
+    members = coded.join(texts, "codes").select("item", "tid").distinct()
+    grams = texts.select("tid", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("codes") - RUN), lambda i: F.xxhash64(F.slice("codes", i + 1, RUN)))).alias("at", "gram"))
+    shared = grams.select("gram", "tid").distinct().groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= spec.stock_items).select("gram")
+    stock = grams.join(shared, "gram").groupBy("tid").agg(F.sort_array(F.collect_list("at")).alias("stock"))
+    texts = texts.join(stock, "tid", "left").withColumn("stock", F.coalesce("stock", F.array().cast("array<int>")))
+    return written(texts, "leak-items"), members
+
+
+def item_keys(texts: DataFrame, spec: LeakSpec) -> DataFrame:
+    """``key, tid``: the keys of the windows with a run of own words, as far as they sample an own word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embedding = Embedding(spec)
+        for pdf in batches:
+            for tid, codes, stock in zip(pdf["tid"], pdf["codes"], pdf["stock"]):
+                codes = _unsigned(codes)
+                own = own_words(len(codes), np.asarray(stock, np.int64), spec)
+                held = np.zeros(len(codes) + 1, np.int64)
+                held[own_runs(own) + 1] = 1
+                sums = np.cumsum(held)
+                starts = np.arange(len(codes) - spec.stretch + 1)
+                starts = starts[sums[starts + spec.stretch - RUN + 1] > sums[starts]]
+                keys, met = embedding.keys(codes, starts, own)
+                keys = np.unique(keys[met])
+                yield pd.DataFrame({"key": keys.view(np.int64), "tid": np.full(len(keys), tid, np.int64)})
+
+    return texts.mapInPandas(run, "key bigint, tid bigint")
+
+
+def bit_filter(values: DataFrame, column: str, n: int, spec: LeakSpec) -> np.ndarray:
+    """A bitmap of the low bits of ``column``: about 32 bits for each of ``n`` values, at most ``filter_bits``.
+
+    The bitmaps are built in the executors; what reaches the driver has that size.
+    """
+    bits = min(max(1 << 20, 1 << (32 * max(n, 1)).bit_length()), spec.filter_bits)
+    slot = F.pmod(F.col(column), F.lit(bits)).alias("slot")
+    rows = values.select(slot).groupBy(F.expr("slot div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
+    table = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        table[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return table
+
+
+def _in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values & np.uint64(8 * len(table) - 1)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def document_keys(codes: np.ndarray, vocabulary: np.ndarray, known: np.ndarray, embedding: Embedding) -> np.ndarray:
+    """The distinct keys of the document's windows that may be keys of an item."""
     spec = embedding.spec
-    width = spec.stretch
-    if len(codes) < width - 1 or not block.ids:
-        return []
-    at = np.searchsorted(block.vocabulary, codes)
-    known = block.vocabulary[np.minimum(at, len(block.vocabulary) - 1)] == codes
+    if len(codes) < spec.stretch - 1:
+        return np.empty(0, np.uint64)
     # a window within two edits of an item window has all but two of its words in the items; at the end it may be two short
     codes = np.concatenate([codes, np.zeros(2, np.uint64)])
-    known = np.concatenate([known, np.zeros(2, bool)])
-    sums = np.concatenate([[0], np.cumsum(known)])
-    starts = np.flatnonzero(sums[width:] - sums[:-width] >= width - 2)
-    if not len(starts):
-        return []
-    met: set[int] = set()
-    for t, keys in enumerate(embedding.keys(codes, starts)):
-        left = np.searchsorted(block.keys[t], keys, "left")
-        right = np.searchsorted(block.keys[t], keys, "right")
-        for k in np.flatnonzero(right > left):
-            met.update(block.owners[t][left[k] : right[k], 0].tolist())
-    runs = _run_keys(codes)
-    return [k for k in sorted(met) if verified(block.texts[k], codes, spec, block.runs[k], runs)]
+    inside = _in(vocabulary, codes)
+    inside[-2:] = False
+    sums = np.concatenate([[0], np.cumsum(inside)])
+    starts = np.flatnonzero(sums[spec.stretch :] - sums[: -spec.stretch] >= spec.stretch - 2)
+    keys = embedding.keys(codes, starts)[0].ravel()
+    return np.unique(keys[_in(known, keys)])
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, spec: LeakSpec = LeakSpec(), *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row (doc_id, item_id) for each document that reproduces a stretch of an item.
 
     Null and blank texts, and items with fewer words than a stretch, have no
-    cases.  Repeated item ids count once.  The items are read on the driver in
-    blocks of at most ``block_windows`` windows; each block is one pass over
-    the documents, so neither memory nor broadcast grows with the item table.
+    cases.  Repeated ids count once, whatever their texts.  Only the bitmaps
+    reach the driver, and their size is bounded by ``spec``.
     """
     spark = documents.sparkSession
-    kinds = [documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
-    source = documents.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).filter("__text is not null and __doc is not null")
-    rows = items.select(item_id, text).filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).distinct().toLocalIterator(prefetchPartitions=False)
-    result, batch, held = None, [], 0
-
-    def one_pass(block_items: list[tuple]) -> DataFrame:
-        block = spark.sparkContext.broadcast(ItemBlock.of(block_items, spec))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            embedding = Embedding(spec)
-            for pdf in batches:
-                out = []
-                for i, t in zip(pdf["__doc"], pdf["__text"]):
-                    out += [(i, block.value.ids[k]) for k in leaks(word_codes(words(t)), block.value, embedding)]
-                out = list(dict.fromkeys(out))
-                yield pd.DataFrame(out, columns=["__doc", "__item"])
-
-        return source.mapInPandas(run, f"__doc {kinds[0]}, __item {kinds[1]}")
-
-    for r in rows:
-        batch.append((r[0], r[1]))
-        held += max(1, len(r[1]) // 4)
-        if held >= spec.block_windows:
-            part = one_pass(batch)
-            result = part if result is None else result.unionByName(part)
-            batch, held = [], 0
-    if batch or result is None:
-        part = one_pass(batch)
-        result = part if result is None else result.unionByName(part)
-    result = result.select(F.col("__doc").alias(doc_id), F.col("__item").alias(item_id))
-    return result
+    kind = documents.schema[doc_id].dataType.simpleString()
+    texts, members = prepared_items(items, spec, item_id=item_id, text=text)
+    keys = written(item_keys(texts, spec), "leak-keys")
+    codes = texts.select(F.explode("codes").alias("code")).distinct()
+    known = spark.sparkContext.broadcast(bit_filter(keys, "key", keys.count(), spec))
+    vocabulary = spark.sparkContext.broadcast(bit_filter(codes, "code", codes.count(), spec))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embedding = Embedding(spec)
+        for pdf in batches:
+            out = []
+            for row, i, t in zip(pdf["row"], pdf["doc"], pdf["text"]):
+                own = word_codes(words(t))
+                found = document_keys(own, vocabulary.value, known.value, embedding)
+                if len(found):
+                    out.append((row, i, _signed(own), found.view(np.int64)))
+            yield pd.DataFrame(out, columns=["row", "doc", "words", "keys"])
+
+    source = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("text is not null and doc is not null")
+    hits = written(source.mapInPandas(read, f"row bigint, doc {kind}, words array<bigint>, keys array<bigint>"), "leak-hits")
+    met = hits.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "tid").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, tid, doc, item, stock in zip(pdf["doc"], pdf["tid"], pdf["words"], pdf["codes"], pdf["stock"]):
+                item = _unsigned(item)
+                if verified(item, _unsigned(doc), spec, own_words(len(item), np.asarray(stock, np.int64), spec)):
+                    out.append((i, tid))
+            yield pd.DataFrame(out, columns=["doc", "tid"])
+
+    pairs = met.join(hits.select("row", "doc", "words"), "row").join(texts, "tid").select("doc", "tid", "words", "codes", "stock").mapInPandas(verify, f"doc {kind}, tid bigint")
+    return pairs.join(members, "tid").select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from artefold.llm import leak
-from artefold.llm.leak import Embedding, ItemBlock, LeakSpec, leaks, verified, word_codes, words
+from artefold.llm.leak import LeakSpec, verified, word_codes, words
 
 SPEC = LeakSpec()
 
@@ -62,38 +62,67 @@ def test_verification_equals_brute_force():
     assert seen == {True, False}
 
 
-def test_recall_of_the_candidates_is_at_least_99_percent():
+def _pairs(spark, docs, items, spec=SPEC):
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    return {tuple(r) for r in leak.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), spec).collect()}
+
+
+def test_recall_of_the_candidates_is_at_least_99_percent(spark):
     """Against exact verification on planted, edited stretches of the least allowed length."""
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(120)]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(60))) for k in range(40)]
-    block, embedding = ItemBlock.of(items, SPEC), Embedding(SPEC)
+    docs, want = [], {}
     for n, e in ((12, 1), (16, 2)):
-        hit = 0
         for _ in range(200):
             k = rng.randrange(40)
             w = words(items[k][1])
             a = rng.randrange(0, len(w) - n)
-            doc = ["p", "q"] * 5 + _edited(rng, w[a : a + n], e) + ["r", "s"] * 5
-            hit += k in leaks(word_codes(doc), block, embedding)
-        assert hit >= 198, (n, e, hit)
+            want[len(docs)] = (k, n)
+            docs.append((len(docs), " ".join(["p", "q"] * 5 + _edited(rng, w[a : a + n], e) + ["r", "s"] * 5)))
+    found = _pairs(spark, docs, items)
+    for n in (12, 16):
+        assert sum((d, k) in found for d, (k, m) in want.items() if m == n) >= 198
 
 
-def test_shorter_quotes_and_likeness_are_no_case():
+def test_shorter_quotes_and_likeness_are_no_case(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-    block, embedding = ItemBlock.of([(1, item)], SPEC), Embedding(SPEC)
-    get = lambda t: leaks(word_codes(words(t)), block, embedding)
-    assert get("x one two three four five six seven eight nine ten eleven y z q") == []
-    assert get("one two three four five six seven eight nine ten eleven twelve") == [0]
-    assert get("one two three four five six eight nine ten eleven twelve") == [0]  # one dropped, ends the text
-    assert get("two one four three six five eight seven ten nine twelve eleven thirteen") == []
-
-
-def test_frames_blocks_and_edges(spark, monkeypatch):
+    docs = [
+        "x one two three four five six seven eight nine ten eleven y z q",
+        "one two three four five six seven eight nine ten eleven twelve",
+        "one two three four five six eight nine ten eleven twelve",  # one dropped, ends the text
+        "two one four three six five eight seven ten nine twelve eleven thirteen",
+    ]
+    assert _pairs(spark, list(enumerate(docs)), [(1, item)]) == {(1, 1), (2, 1)}
+
+
+def test_stock_sentences_with_chance_words_are_no_case(spark):
+    stock = "answer briefly and do not repeat the question in full"
+    own = {k: " ".join(f"{w}{k}" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu".split()) for k in range(6)}
+    items = [(k, f"{stock} of the {own[k]}") for k in range(6)]
+    docs = [
+        (1, f"{stock} or the harbour was closed"),  # ten stock words, one replaced, one that agrees
+        (2, f"{stock} of the {own[2]}"),
+        (3, f"before {' '.join(own[3].split()[:12])} behind"),
+        (4, f"{stock} of the {' '.join(own[4].split()[:4])} and no more"),  # four own words
+        (5, f"{stock} of the {' '.join(own[5].split()[:5])} and no more"),
+    ]
+    assert _pairs(spark, docs, items) == {(2, 2), (3, 3), (5, 5)}
+    copies = [(k, own[0]) for k in range(4)]  # copies of a text share no stock
+    assert _pairs(spark, [(1, own[0])], copies) == {(1, k) for k in range(4)}
+    near = [(k, f"{own[0]} {own[1]} end{k}") for k in range(4)]  # nor does a passage of 24 words or more
+    assert _pairs(spark, [(1, own[0])], near) == {(1, k) for k in range(4)}
+
+
+def test_a_full_filter_loses_nothing(spark):
+    t = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    assert _pairs(spark, [(1, t), (2, "nothing of it")], [(7, t)], LeakSpec(filter_bits=1 << 15)) == {(1, 7)}
+
+
+def test_frames_and_edges(spark):
     t = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
     docs = spark.createDataFrame([(1, f"> {t}", "c"), (2, None, "c"), (3, "", "c"), (4, "noise " * 30_000 + t, None), (5, t, "c"), (5, t, "c")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(10, t), (10, t), (11, None), (12, "too short"), (13, t.upper() + " omicron")], "item_id long, text string")
     want = {(d, i) for d in (1, 4, 5) for i in (10, 13)}
     assert {tuple(r) for r in leak.find_leaks(docs, items).collect()} == want
-    assert {tuple(r) for r in leak.find_leaks(docs, items, LeakSpec(block_windows=10)).collect()} == want  # in several blocks
     assert leak.find_leaks(docs, items.limit(0)).collect() == [] and leak.find_leaks(docs.limit(0), items).collect() == []

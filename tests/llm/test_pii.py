@@ -72,6 +72,42 @@ def test_decoys(text):
     assert pii.mentions(text) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "reviewed by Oliver Bennett.", "Signed-off-by: Priya Raman <x>", 'user="Liam Walker" logged in', "cc Noah Fischer and more", "Author: Mohammed Al-Fayed\n", "Chen Wei wrote: no", "{\"assignee\":\"Clark, Emily\"}",
+        "Dr. Agnieszka Kowalski met", "// TODO(Mark Ashgrovel): tidy",
+    ],
+)
+def test_names_beside_cues_whatever_they_are(text):
+    assert [k for k, _ in found(text)] == ["name"], found(text)
+
+
+def test_joined_names_and_verbs():
+    assert found("cc Emil Núñoval and Priya Raman, then") == [("name", "Emil Núñoval"), ("name", "Priya Raman")]
+
+
+def test_names_the_corpus_shows(spark):
+    """Given and family names seen beside cues are known elsewhere, in any combination; product names are not."""
+    docs = ["Author: Oliver Bennett", "cc Oliver Bennett", "Author: Priya Raman", "cc Priya Raman", "It was Priya Bennett who asked, and O. Raman too; Grant Bennett ran", "It was Sparse Matrix that won", "", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r.doc_id, docs[r.doc_id][r.start_char - 1 : r.end_char]) for r in pii.find(df).filter("doc_id > 3").collect()}
+    assert got == {(4, "Priya Bennett"), (4, "O. Raman")}
+    assert {r.text for r in pii.redact(df).filter("doc_id = 4").collect()} == {"It was [NAME] who asked, and [NAME] too; Grant Bennett ran"}
+
+
+def test_numbers_that_cannot_be():
+    assert found("SSN 000-12-3456") == found("SSN 666-12-3456") == found("SSN 123-00-3456") == found("DNI 99278731-K") == []
+    assert found("Steuer-ID 86095742719") == [("id_number", "86095742719")] and found("Steuer-ID 86095742718") == []
+
+
+def test_long_parts_are_whole():
+    local = "a" * 300
+    assert found(f"write {local}@example.org now") == [("email", f"{local}@example.org")]
+    street = "Wide" * 40
+    assert found(f"at 12 {street} Lane.") == [("address", f"12 {street} Lane.")]
+
+
 def test_redaction_keeps_the_rest():
     text = "cc Emil Núñoval <e@x.example>, 415-555-0123."
     assert pii.redacted(text) == "cc [NAME] <[EMAIL]>, [PHONE]."

@@ -366,9 +366,9 @@ def _spans(documents: DataFrame, id_col: str, text_col: str, least_share: float)
 
     source = documents.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text_hash"), F.col(text_col).alias("__text")).filter("__text is not null and __id is not null")
     scanned = written(source.mapInPandas(run, f"__row bigint, __id {kind}, __text_hash bigint, {SCANNED}"), "pii-scanned")
-    forms = scanned.filter("pii_type = 'name'").select("given", "family", "sure", "__text_hash").distinct()
+    named = scanned.filter("pii_type = 'name'").select("given", "family", "sure", "__text_hash").distinct()
     seen = F.count_if(F.col("sure") & F.col("given").isNotNull())
-    known = lambda c: forms.groupBy(c).agg(seen.alias("n"), F.count("*").alias("of")).filter((F.col("n") > 0) & (F.col("n") >= least_share * F.col("of"))).select(c)
+    known = lambda c: named.groupBy(c).agg(seen.alias("n"), F.count("*").alias("of")).filter((F.col("n") > 0) & (F.col("n") >= least_share * F.col("of"))).select(c)
     forms = scanned.filter("not sure").join(known("family"), "family", "left_semi")
     forms = forms.filter("given is null").unionByName(forms.filter("given is not null").join(known("given"), "given", "left_semi"))
     taken = written(forms.select(*scanned.columns), "pii-forms")

@@ -1,8 +1,8 @@
-"""The state operators over unbounded input, with the same results as in batch.
+"""The state operators over unbounded input.
 
-``snapshot_stream`` keeps a fold per task, ``exactly_once_stream`` admits each
-event once, ``debounce_stream`` finds bursts by session windows, and
-``append_log`` numbers events per task in an append-only log.
+``snapshot_stream`` keeps a fold per task, ``exactly_once_stream`` and
+``admit_batches`` admit each event once, ``debounce_stream`` finds bursts by
+session windows.
 """
 
 from __future__ import annotations
@@ -23,17 +23,23 @@ def _timed(events: DataFrame, at: str) -> DataFrame:
 
 
 def exactly_once_stream(events: DataFrame, *, late: str = "30 days", at: str = "delivered_at", key: str = "event_id") -> DataFrame:
-    """The first arrival of each identifier; state is dropped once the watermark has passed it."""
+    """The first arrival of each identifier by order of arrival; state is dropped once the watermark has passed it.
+
+    Unlike in batch, rows without a usable identifier are left out.
+    """
     return _timed(events, at).withColumn("__key", canonical_uuid(key)).filter("__key is not null").withWatermark(at, late).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
 def admit_batches(store: SeenStore, sink: str):
-    """A ``foreachBatch`` function: admits a micro-batch against the store and appends what it lets through, once per batch id."""
+    """A ``foreachBatch`` function: admits a micro-batch against the store and writes what it lets through to a folder of the batch.
+
+    The store commits first, under the id of the batch.  If the writer is lost
+    between the two, the repeated batch gets the arrivals of that commit again
+    and overwrites the folder, so none is lost and none comes twice.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if store.version() > batch_id:
-            return  # the batch was committed before a restart
-        admitted_rows(batch, store).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        admitted_rows(batch, store, tag=str(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return run
 

@@ -40,7 +40,7 @@ def test_batches_against_a_store(spark, tmp_path):
 
 def test_a_batch_that_did_not_commit_leaves_no_trace(spark, tmp_path):
     store = X.SeenStore(spark, f"file://{tmp_path}/seen")
-    store._commit = lambda version: (_ for _ in ()).throw(RuntimeError("lost"))
+    store._commit = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
     try:
         store.admit(rows(spark, (1, A, 1)))
     except RuntimeError:
@@ -54,3 +54,46 @@ def test_repeated_rows_hot_key_and_empty_table(spark):
     both = hot.unionByName(hot)
     assert X.repeated_rows(both).count() == 2999 and X.admitted_rows(both).count() == 1
     assert X.repeated_rows(hot.limit(0)).collect() == [] and X.admitted_rows(hot.limit(0)).collect() == []
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    one, two = (X.SeenStore(spark, f"file://{tmp_path}/seen", shards=3) for _ in range(2))
+    commit, failed = one._commit, []
+
+    def late(*args):
+        two.admit(rows(spark, (1, A, 1)))  # another writer commits the same version first
+        commit(*args)
+
+    one._commit = late
+    try:
+        one.admit(rows(spark, (2, B, 1)))
+    except RuntimeError:
+        failed.append(True)
+    assert failed and one.version() == 1
+    assert [r["__key"] for r in two.dictionary().collect()] == [A.replace("-", "")]
+    del one._commit
+    assert [r["__row"] for r in one.admit(rows(spark, (2, B, 1), (3, A, 1))).collect()] == [2]
+
+
+def test_a_repeated_tag_gives_the_same_arrivals(spark, tmp_path):
+    store = X.SeenStore(spark, f"file://{tmp_path}/seen")
+    batch = rows(spark, (1, A, 1), (2, A, 2))
+    for _ in range(2):
+        assert [r["__row"] for r in store.admit(batch, tag="7").collect()] == [1]
+    assert store.version() == 1 and store.admit(batch, tag="8").collect() == []
+
+
+def test_parts_are_merged(spark, tmp_path):
+    store = X.SeenStore(spark, f"file://{tmp_path}/seen", shards=2, compact_every=3)
+    ids = [f"{k:08x}-0000-0000-0000-000000000000" for k in range(4)]
+    for k, i in enumerate(ids):
+        assert store.admit(rows(spark, (k, i, 1), (9, ids[0], 2))).count() == 1
+    last = store.manifest(4)
+    assert len(last["bitmaps"]) == 2 and store.dictionary().count() == 4
+    assert store.bitmaps().agg(F.sum(F.expr("bitmap_count(bits)"))).collect()[0][0] == 4
+
+
+def test_batches_by_time(spark):
+    df = rows(spark, (1, A, 1), (2, A, 9), (3, B, None), (4, B, 5))
+    assert [sorted(r[0] for r in b.select("delivery_id").collect()) for b in X.batches_by_time(df, 2)] == [[1, 4], [2, 3]]
+    assert len(X.batches_by_time(df.limit(0), 2)) == 1

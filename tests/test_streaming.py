@@ -39,6 +39,15 @@ def test_batches_are_admitted_once(spark, small, tmp_path):
     assert {r.delivery_id for r in spark.read.parquet(f"{tmp_path}/out/batch=0").collect()} == want
 
 
+def test_a_batch_lost_after_the_commit_comes_again(spark, small, tmp_path):
+    store = SeenStore(spark, f"file://{tmp_path}/seen", shards=16)
+    batch = spark.read.parquet(f"{small}/agent_events.parquet")
+    want = store.admit(batch, tag="0").count()  # the sink was not written
+    E.admit_batches(store, f"{tmp_path}/out")(batch, 0)
+    out = spark.read.parquet(f"{tmp_path}/out/batch=0")
+    assert store.version() == 1 and out.filter(canonical_uuid("event_id").isNotNull()).count() == want
+
+
 def test_exactly_once_and_bursts(spark, small, tmp_path):
     _run(E.exactly_once_stream(_stream(spark, small)), "once", "append", tmp_path)
     batch = spark.read.parquet(f"{small}/agent_events.parquet")

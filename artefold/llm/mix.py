@@ -2,21 +2,21 @@
 
 Each source's documents stand in one random order, found without gathering a
 source: a hash gives the order, and token offsets come from prefix sums of two
-levels (inside hash buckets, then over buckets).  A quota in tokens is then a
-prefix of so many passes over that order, so the number of copies of a
-document follows from its offset alone.
-
-For output, quotas are cut into blocks and a multivariate-hypergeometric
-splitting tree gives each output shard its exact number of blocks of each
-source; a shard's blocks are disjoint ranges of the permuted block numbers of
-the source, and documents are shuffled within their shard.
+levels (inside hash buckets, then over buckets).  That order is cut into
+blocks of about ``block_tokens``.  A quota in tokens is so many passes over
+all blocks and a rest, for which a mix takes blocks in an order of its own, a
+permutation by hash, up to the document that fills the quota.
+
+A multivariate-hypergeometric splitting tree gives each output shard its exact
+number of block draws of each source; a shard draws disjoint ranges of the
+permuted block draws, and documents are shuffled within their shard.  A mix is
+the union of its shards.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -94,15 +94,30 @@ def quotas(targets: DataFrame, counts: DataFrame) -> DataFrame:
     return wanted.select("mix_id", "source", "target_share", "total_tokens", "target_tokens", F.least("target_tokens", most).cast("bigint").alias("quota"), "max_repeats", size.alias("size"))
 
 
-def chosen(placed: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """``mix_id, id, source, n_tokens, copies``: every document a mix draws, and how often.
+def _running(rows: DataFrame, keys: list[str], order: str, value: str | None, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` (or the number) of the rows before in ``order``, a hash, by prefix sums of two levels."""
+    amount = F.col(value) if value else F.lit(1)
+    rows = rows.withColumn("__part", F.shiftright(order, 52))
+    inside = Window.partitionBy(*keys, "__part").orderBy(order, "block", "pass").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "__part").agg(F.sum(amount).alias("__held")).select(*keys, "__part", F.coalesce(F.sum("__held").over(before), F.lit(0)).alias("__base"))
+    rows = rows.withColumn("__in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return rows.join(sums, [*keys, "__part"]).withColumn(name, F.col("__base") + F.col("__in")).drop("__part", "__in", "__base")
 
-    A document is in the last, incomplete pass if at least half of it lies
-    within the quota, so a source misses its quota by at most half a document.
+
+def block_draws(placed: DataFrame, wanted: DataFrame, *, block_tokens: int, seed: int) -> DataFrame:
+    """``mix_id, source, block, pass, first, base, rest``: every block each mix draws in each pass.
+
+    ``first`` is the offset of the block's first document.  In the last,
+    incomplete pass ``base`` tokens of blocks come before in the mix's order,
+    of the ``rest`` it wants; in full passes ``rest`` is null.
     """
-    q = wanted.filter("quota > 0").select("mix_id", "source", "quota", "max_repeats")
-    rows = placed.join(q, "source").withColumn("copies", F.expr("quota div size + case when start * 2 + n_tokens <= 2 * (quota % size) then 1 else 0 end"))
-    return rows.filter("copies > 0").select("mix_id", id_col, "source", "n_tokens", F.when(F.col("max_repeats").isNotNull(), F.least("copies", "max_repeats")).otherwise(F.col("copies")).cast("bigint").alias("copies"))
+    blocks = placed.groupBy("source", F.expr(f"start div {block_tokens}").alias("block")).agg(F.min("start").alias("first"), F.sum("n_tokens").alias("tokens"), F.max("size").alias("size"))
+    rows = blocks.join(wanted.filter("quota > 0").select("mix_id", "source", "quota"), "source").withColumn("pass", F.expr("quota div size")).withColumn("order", F.xxhash64(F.lit(seed), "mix_id", "source", "block"))
+    rows = written(_running(rows, ["mix_id", "source"], "order", "tokens", "base"), "mix-blocks")
+    full = rows.filter("pass > 0").withColumn("pass", F.explode(F.expr("sequence(0L, pass - 1)"))).withColumn("rest", F.lit(None).cast("bigint"))
+    last = rows.withColumn("rest", F.expr("quota % size")).filter("base < rest")
+    return full.unionByName(last).select("mix_id", "source", "block", "pass", "first", "base", "rest")
 
 
 def shares(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -129,39 +144,41 @@ def split_tree(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_tree(part, left, rng), split_tree(blocks - part, shards - left, rng)])
 
 
-def _multiplier(n: int, rng: np.random.Generator) -> int:
-    a = int(rng.integers(1, max(2, n)))
-    while gcd(a, n) != 1:
-        a += 1
-    return a
+def shard_ends(draws: DataFrame, *, shards: int, seed: int) -> DataFrame:
+    """``mix_id, source, ends``: up to which draw of a source each shard takes, by the splitting tree of the mix.
+
+    A mix is split in one task; it has one row for each of its sources.
+    """
+
+    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source")
+        rng = np.random.default_rng([seed, *str(key[0]).encode()])
+        ends = np.cumsum(split_tree(pdf["n"].to_numpy(np.int64), shards, rng), axis=0)
+        return pd.DataFrame({"mix_id": pdf["mix_id"].tolist(), "source": pdf["source"].tolist(), "ends": [ends[:, k].tolist() for k in range(len(pdf))]})
+
+    counts = draws.groupBy("mix_id", "source").agg(F.count("*").alias("n"))
+    return counts.groupBy("mix_id").applyInPandas(split, "mix_id string, source string, ends array<bigint>")
 
 
-def sharded(placed: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", shards: int = 8, block_tokens: int = 4096, seed: int = 0, most_sources: int = 10_000) -> DataFrame:
-    """``mix_id, shard, shuffle_key, id, source, pass``: the draws in output shards.
+def sharded(placed: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id", shards: int = 8, block_tokens: int = 4096, seed: int = 0) -> DataFrame:
+    """``mix_id, shard, shuffle_key, id, source, n_tokens, pass``: the draws in output shards.
 
-    Sort a shard by ``shuffle_key`` to read it shuffled.  Only the quotas, one
-    row per mix and source, are read on the driver, at most ``most_sources``.
+    Sort a shard by ``shuffle_key`` to read it shuffled.  A document is in the
+    last, incomplete pass if at least half of it lies within the quota, so a
+    source misses its quota by at most half a document.
     """
-    spark = placed.sparkSession
-    q = wanted.filter("quota > 0").select("mix_id", "source", "quota").orderBy("mix_id", "source").limit(most_sources + 1).collect()
-    if len(q) > most_sources:
-        raise ValueError(f"more than {most_sources} quotas")
-    rng = np.random.default_rng(seed)
-    plan = []
-    for mix in sorted({r.mix_id for r in q}):
-        rows = [r for r in q if r.mix_id == mix]
-        blocks = np.array([-(-r.quota // block_tokens) for r in rows], np.int64)
-        ends = np.cumsum(split_tree(blocks, shards, rng), axis=0)
-        for k, r in enumerate(rows):
-            n = int(blocks[k])
-            plan.append((mix, r.source, n, _multiplier(n, rng), int(rng.integers(0, n)), ends[:, k].tolist()))
-    plan_df = spark.createDataFrame(plan, "mix_id string, source string, n bigint, a bigint, c bigint, ends array<bigint>")
-    draws = chosen(placed, wanted, id_col=id_col).join(placed.select(id_col, "start", "size"), id_col)
-    draws = draws.withColumn("pass", F.explode(F.expr("sequence(0L, copies - 1)"))).join(plan_df, ["mix_id", "source"])
-    block = F.expr(f"least((start + pass * size) div {block_tokens}, n - 1)")
-    spot = F.expr("cast((cast(a as decimal(38,0)) * block + c) % n as bigint)")
-    draws = draws.withColumn("block", block).withColumn("spot", spot).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("spot"))))
-    return draws.select("mix_id", "shard", F.xxhash64(F.lit(seed + 1), id_col, "pass").alias("shuffle_key"), id_col, "source", "pass")
+    draws = written(block_draws(placed, wanted, block_tokens=block_tokens, seed=seed), "mix-draws")
+    ranked = _running(draws.withColumn("order", F.xxhash64(F.lit(seed + 1), "mix_id", "source", "block", "pass")), ["mix_id", "source"], "order", None, "spot")
+    ranked = ranked.join(shard_ends(draws, shards=shards, seed=seed), ["mix_id", "source"]).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("spot"))))
+    slim = ranked.select("mix_id", "source", "block", "pass", "first", "base", "rest", "shard")
+    rows = placed.withColumn("block", F.expr(f"start div {block_tokens}")).select(id_col, "source", "n_tokens", "start", "block").join(slim, ["source", "block"])
+    rows = rows.filter("rest is null or (base + start - first) * 2 + n_tokens <= 2 * rest")
+    return rows.select("mix_id", "shard", F.xxhash64(F.lit(seed + 2), id_col, "pass").alias("shuffle_key"), id_col, "source", "n_tokens", "pass")
+
+
+def chosen(draws: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """``mix_id, id, source, n_tokens, copies``: every document the shards of a mix draw, and how often."""
+    return draws.groupBy("mix_id", id_col, "source", "n_tokens").agg(F.count("*").alias("copies"))
 
 
 def prepared(documents: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:

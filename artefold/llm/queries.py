@@ -37,23 +37,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents each mix draws, with their number of copies."""
+def _draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counts = mix.prepared(table(spark, sf_dir, "documents"))
-    return mix.chosen(mix.offsets(counts), mix.quotas(table(spark, sf_dir, "mix_targets"), counts))
+    wanted = mix.quotas(table(spark, sf_dir, "mix_targets"), counts)
+    return mix.sharded(mix.offsets(counts), wanted), wanted
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents each mix draws, over all its shards, with their number of copies."""
+    return mix.chosen(_draws(spark, sf_dir)[0])
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share each source was to reach and really reached."""
-    counts = mix.prepared(table(spark, sf_dir, "documents"))
-    wanted = mix.quotas(table(spark, sf_dir, "mix_targets"), counts)
-    return mix.shares(mix.chosen(mix.offsets(counts), wanted), wanted)
+    draws, wanted = _draws(spark, sf_dir)
+    return mix.shares(mix.chosen(draws), wanted)
 
 
 def p7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws of each mix in shuffled output shards."""
-    counts = mix.prepared(table(spark, sf_dir, "documents"))
-    return mix.sharded(mix.offsets(counts), mix.quotas(table(spark, sf_dir, "mix_targets"), counts))
+    return _draws(spark, sf_dir)[0]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ def _plan(spark, docs, targets):
     counts = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     wanted = mix.quotas(spark.createDataFrame(targets, "mix_id string, source string, weight double, max_repeats int, total_ratio double"), counts)
     placed = mix.offsets(counts)
-    return placed, wanted, mix.chosen(placed, wanted)
+    return placed, wanted, mix.chosen(mix.sharded(placed, wanted, block_tokens=40))
 
 
 def test_shares_caps_and_missing_sources(spark):
@@ -38,11 +38,23 @@ def test_split_tree_keeps_source_and_shard_sums():
     assert (tree.sum(axis=0) == blocks).all() and tree.min() >= 0 and np.ptp(tree.sum(axis=1)) <= 1
 
 
-def test_shards_hold_every_draw_once(spark):
-    placed, wanted, drawn = _plan(spark, [(i, "ab"[i % 2], 50) for i in range(200)], [("m", "a", 3.0, None, 1.5), ("m", "b", 1.0, None, 1.5)])
-    rows = mix.sharded(placed, wanted, shards=4, block_tokens=200).collect()
-    assert len(rows) == len({(r.doc_id, r["pass"]) for r in rows}) == sum(r.copies for r in drawn.collect())
-    assert {r.shard for r in rows} == {0, 1, 2, 3}
+def test_a_mix_is_the_union_of_its_shards(spark):
+    placed, wanted, _ = _plan(spark, [(i, "ab"[i % 2], 50) for i in range(200)], [("m", "a", 3.0, None, 1.5), ("m", "b", 1.0, None, 1.5)])
+    for size in (50, 200, 100_000):
+        rows = mix.sharded(placed, wanted, shards=4, block_tokens=size).collect()
+        assert len(rows) == len({(r.doc_id, r["pass"]) for r in rows})
+        per = {s: sum(r.source == s for r in rows) for s in "ab"}
+        assert per == {"a": 225, "b": 75}  # of 15,000 tokens
+        if size < 100_000:
+            assert {r.shard for r in rows} == {0, 1, 2, 3}
+
+
+def test_blocks_of_a_shard_are_spread_over_the_source(spark):
+    """The permutation leaves no neighbourhood: of two neighbouring blocks about a quarter share a shard of four."""
+    placed, wanted, _ = _plan(spark, [(i, "a", 10) for i in range(4000)], [("m", "a", 1.0, None, 1.0)])
+    draws = mix.sharded(placed, wanted, shards=4, block_tokens=10).join(placed.select("doc_id", "start"), "doc_id").orderBy("start").collect()
+    same = sum(a.shard == b.shard for a, b in zip(draws, draws[1:])) / (len(draws) - 1)
+    assert len(draws) == 4000 and 0.2 < same < 0.3
 
 
 def test_tokens_of_whole_texts_and_empty_tables(spark):

@@ -12,16 +12,13 @@ so what a sweep matches fits in both.
 
 Larger groups are swept in distributed form: bracket depths are prefix sums of
 two levels, partners meet by (group, depth).  Once at most ``local_items``
-items of a group are left (50,000 are a few megabytes), the same sweeps go on
-within one task from the gaps reached.  Both take item by item in one order,
+items of a group are left, the same sweeps go on within one task from the gaps reached.  Both take item by item in one order,
 so the containers do not depend on where a sweep runs.  Items of size 0 go to
 the first container.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -142,7 +139,7 @@ def _new_bins(items: DataFrame, tops: DataFrame) -> DataFrame:
     return need.select("grp", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("bin"), F.lit(UNIT).cast("bigint").alias("gap"))
 
 
-def pack(items: DataFrame, *, local_items: int = 50_000) -> DataFrame:
+def pack(items: DataFrame, *, local_items: int = 1_000) -> DataFrame:
     """Containers for (grp bigint, item, tokens, bytes, budget_tokens, budget_bytes), one row for each item or piece.
 
     Adds ``piece``, ``bin`` and the space left in the container,

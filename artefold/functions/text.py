@@ -43,16 +43,26 @@ def fingerprint(*cols: Column | str, size: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, size)
 
 
+def fragments(col: Column) -> Column:
+    """The parts of an identifier: camel-case words, acronyms and runs of digits; an array."""
+    s = F.regexp_replace(F.regexp_replace(col, "([a-z])([A-Z])", "$1 $2"), "([0-9])([^0-9 ])", "$1 $2")
+    return F.split(F.regexp_replace(F.regexp_replace(s, "([^0-9 ])([0-9])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2"), " ")
+
+
 def tokenize(col: Column) -> Column:
-    """Search terms: words of letters, digits, ``_ : / . -``, their segments, and camel-case and digit fragments.
+    """Search terms: runs of letters, digits, ``_``, ``:`` and ``/``, their segments, and the fragments of those.
 
-    Lower case, at least two bytes, unique, in order of appearance.
+    Lower case of A-Z, at least two bytes, unique, in order of appearance.
     """
-    parts = F.filter(F.split(col, r"[^A-Za-z0-9_:/.-]+"), lambda x: x != "")
-    segments = F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), F.filter(F.split(p, r"[/:._-]+"), lambda s: s != ""))))
-    split = lambda s: F.split(F.regexp_replace(F.regexp_replace(s, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Za-z])([0-9])|([0-9])([A-Za-z])", "$1$3 $2$4"), " ")
-    fragments = F.flatten(F.transform(segments, lambda s: F.concat(F.array(s), F.when(s.rlike("^[A-Za-z0-9]+$"), split(s)).otherwise(F.array().cast("array<string>")))))
-    return F.array_distinct(F.filter(F.transform(fragments, ascii_lower), lambda x: F.octet_length(x) >= 2))
+    some = lambda xs: F.filter(xs, lambda x: x != "")
+    parts = some(F.split(col, r"[^\p{L}\p{N}_:/]+"))
+    of = lambda p: F.concat(F.array(p), F.flatten(F.transform(some(F.split(p, r"[/:._-]+")), lambda s: F.concat(F.array(s), fragments(s)))))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(parts, of)), ascii_lower), lambda x: F.octet_length(x) >= 2))
+
+
+def camel_pieces(col: Column) -> Column:
+    """The camel-case words and acronyms of a term, digits left where they are; an array."""
+    return F.split(F.regexp_replace(F.regexp_replace(col, "([a-z])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2"), " ")
 
 
 def words(col: Column) -> Column:
@@ -85,18 +95,30 @@ def truncated(col: Column, size: int) -> Column:
     return F.when(F.length(col) > size, F.concat(F.substring(col, 1, size - 3), F.lit("..."))).otherwise(col)
 
 
+# Words that tell how much a section matters.
+WORDS_OF_FAILURE = "critical|fail|failed|error|regression|panic"
+WORDS_OF_WARNING = "warning|uncovered|missing|stale"
+WORDS_OF_SUCCESS = "passed|ok|green"
+# How generated summaries begin.
+ASSEMBLED_HEADS = "^(context assemble |assembled context )"
+COUNTED_HEADS = "^(repo map files=|diff touched files=|test impact selected_tests=|build diagnostics unique=|correlation findings=|agent snapshot events=)"
+
+
 def inferred_relevance(text: Column, refs: Column) -> Column:
     """0.5, more for words of failure, warning and success, and 0.04 for each reference."""
     low = ascii_lower(text)
     hit = lambda words, w: F.when(low.rlike(words), w).otherwise(0.0)
-    return F.round(F.lit(0.5) + hit("error|fail|panic|exception", 0.7) + hit("warn", 0.3) + hit("ok|pass|success", 0.1) + refs * 0.04, 6)
+    return F.round(F.lit(0.5) + hit(WORDS_OF_FAILURE, 0.7) + hit(WORDS_OF_WARNING, 0.3) + hit(WORDS_OF_SUCCESS, 0.1) + refs * 0.04, 6)
 
 
 def summary_priority(text: Column) -> Column:
-    """How well a line sums up: prose over paths, more words, more text, no boilerplate."""
-    n_words = F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
-    path_like = looks_like_path(F.trim(text)) & ~F.trim(text).contains(" ")
-    return F.when(path_like, -40).otherwise(40) + 2 * F.least(n_words, F.lit(12)) + (F.least(F.length(text), F.lit(180)) / 12).cast("int")
+    """How well a line sums up: prose over paths, more words, more text, generated summaries last."""
+    t = F.trim(text)
+    low = ascii_lower(t)
+    n_words = F.size(F.filter(F.split(t, r"\s+"), lambda x: x != ""))
+    counted = low.contains("truncated=") & low.contains("sections=") & low.contains("refs=")
+    less = F.when(low.rlike(ASSEMBLED_HEADS), 60).otherwise(0) + F.when(low.rlike(COUNTED_HEADS), 24).otherwise(0) + F.when(counted, 24).otherwise(0)
+    return F.when(looks_like_path(t), -40).otherwise(40) + 2 * F.least(n_words, F.lit(12)) + (F.least(F.octet_length(t), F.lit(180)) / 12).cast("int") - less
 
 
 def trigrams(col: Column) -> Column:

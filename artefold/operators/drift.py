@@ -174,17 +174,15 @@ def _by(*cols: str):
     return Window.partitionBy(*cols)
 
 
-def aliases(found: DataFrame, stores: tuple[Store, ...], *, most: int = 20_000) -> dict[str, str]:
+def aliases(found: DataFrame, stores: tuple[Store, ...]) -> dict[str, str]:
     """Today's field name -> target field, by following the renames in ``found``.
 
-    Only distinct names reach the driver, schema metadata whose number is
-    checked against ``most``.  A name that came from several gets the one it
+    Only distinct pairs of names reach the driver, which are schema metadata.
+    A name that came from several gets the one it
     came from most often; a chain that meets no target field gives no alias.
     """
     links = found.filter("change_type = 'renamed'").groupBy("field_path", "new_path").agg(F.count("*").alias("n"))
-    rows = links.orderBy("new_path", F.desc("n"), "field_path").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} distinct renames; promote fields by hand")
+    rows = links.orderBy("new_path", F.desc("n"), "field_path").collect()
     came_from: dict[str, str] = {}
     for r in rows:
         came_from.setdefault(r.new_path, r.field_path)
@@ -228,11 +226,11 @@ def replay(ingested: DataFrame, store: Store, renames: dict[str, str], approved:
                 "array": text,
                 "boolean": f"try_cast({text} as boolean)",
                 "decimal": f"try_cast({text} as double)",
-                "integer": f"case when try_cast({text} as decimal(38,9)) = try_cast({text} as bigint) then try_cast({text} as bigint) else unix_timestamp(try_cast(case when {text} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]' then {text} end as timestamp)) end",
+                "integer": f"case when try_cast({text} as decimal(38,9)) = try_cast({text} as bigint) then try_cast({text} as bigint) else unix_timestamp(try_cast(case when {text} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ].*(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$' then {text} when {text} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]' then concat({text}, 'Z') end as timestamp)) end",
             }[kind]
             options.append(f"case when {raw} is not null then {got} end")
             taken.append((n, f"({got}) is not null"))
         out.append(F.expr("coalesce(" + ", ".join(options) + ")" if len(options) > 1 else options[0]).alias(c))
-    used = F.array_compact(F.array(*[F.expr(f"case when {ok} then '{n}' end".replace("\\", "\\\\") if "'" not in n else "cast(null as string)") for n, ok in taken]))
+    used = F.array_compact(F.array(*[F.when(F.expr(ok), F.lit(n)) for n, ok in taken]))
     left = F.map_filter("rescued", lambda k, v: ~F.array_contains(F.col("__used"), k))
     return records.withColumn("__used", used).select("stream_id", "file_id", "written_at", "ordinal", *out, F.when(F.size(left) > 0, F.to_json(left)).alias("rescued"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def pattern_regex(query: str) -> str:
     return "".join(out)
 
 
-def levels(nodes: DataFrame, depends: DataFrame, *, most: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, depends: DataFrame) -> DataFrame:
     """``id, level``: 0 without dependencies, else one more than the deepest of them.
 
     Layers are peeled by anti-joins on written tables; what is left when a
@@ -91,7 +92,7 @@ def levels(nodes: DataFrame, depends: DataFrame, *, most: int = 1000) -> DataFra
     left = written(nodes.select("id").distinct(), "levels-nodes")
     deps = written(depends.select("id", "needs").distinct().join(left.select(F.col("id").alias("needs")), "needs", "left_semi"), "levels-edges")
     done = None
-    for level in range(most):
+    for level in count():
         blocked = deps.join(left.select(F.col("id").alias("needs")), "needs", "left_semi").select("id").distinct()
         free = written(left.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)), "levels-free")
         if free.isEmpty():

@@ -7,6 +7,8 @@ sample_count, last_seen)``, tasks ``(id, est_ms)``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,38 +106,41 @@ def with_estimates(tests: DataFrame, timings: DataFrame, *, unknown_ms: int = 80
     return tests.join(timings.select("test_id", "duration_ms"), "test_id", "left").select(F.col("test_id").alias("id"), F.coalesce("duration_ms", F.lit(unknown_ms)).cast("bigint").alias("est_ms"))
 
 
-def lpt_shards(tasks: DataFrame, shards: int, *, most_tasks: int = 2_000_000) -> DataFrame:
+def lpt_shards(tasks: DataFrame, shards: int) -> DataFrame:
     """``shard_id, id, est_ms``: longest task first to the least loaded shard, ties to the lower shard.
 
-    The rule is sequential over one list, so the tasks go to one place; their
-    number is checked against ``most_tasks``.
+    The rule is sequential over one sorted list: one task sorts it, on disk
+    where it must, and reads it batch by batch; it holds only the loads.
     """
     kind = dict(tasks.dtypes)["id"]
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import heapq
 
-        pdf = pdf.sort_values(["est_ms", "id"], ascending=[False, True], kind="stable")
         heap = [(0, k) for k in range(shards)]
-        out = []
-        for ms in pdf["est_ms"]:
-            load, k = heapq.heappop(heap)
-            out.append(k)
-            heapq.heappush(heap, (load + int(ms), k))
-        return pdf.assign(shard_id=out)[["shard_id", "id", "est_ms"]]
+        for pdf in batches:
+            out = []
+            for ms in pdf["est_ms"]:
+                load, k = heapq.heappop(heap)
+                out.append(k)
+                heapq.heappush(heap, (load + int(ms), k))
+            yield pdf.assign(shard_id=out)[["shard_id", "id", "est_ms"]]
 
-    n = F.count("*").over(Window.partitionBy())
-    checked = tasks.select("id", "est_ms").withColumn("__n", n).filter(F.assert_true(F.col("__n") <= most_tasks).isNull()).drop("__n")
-    return checked.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(assign, f"shard_id int, id {kind}, est_ms bigint")
+    ranked = tasks.select("id", "est_ms").repartition(1).sortWithinPartitions(F.desc("est_ms"), "id")
+    return ranked.mapInPandas(assign, f"shard_id int, id {kind}, est_ms bigint")
 
 
-def shard_metrics(assigned: DataFrame, shards: int) -> DataFrame:
-    """One row: makespan, total, imbalance over the median, efficiency."""
+def shard_metrics(assigned: DataFrame, shards: int, *, whale_ms: int | None = None) -> DataFrame:
+    """One row: makespan, total, imbalance over the median, efficiency, share of the ten longest tasks, number of whales (longer than ``whale_ms``)."""
     loads = assigned.groupBy("shard_id").agg(F.sum("est_ms").alias("load"))
     m = loads.agg(F.max("load").alias("makespan_ms"), F.sum("load").cast("bigint").alias("total_ms"), F.expr("percentile(load, 0.5)").alias("median"))
+    top = assigned.orderBy(F.desc("est_ms")).limit(10).agg(F.sum("est_ms").alias("top"))
+    whales = assigned.agg((F.count_if(F.col("est_ms") > whale_ms) if whale_ms is not None else F.lit(0)).cast("bigint").alias("whales"))
+    m = m.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(whales))  # one row each
     return m.select(
         "makespan_ms", "total_ms", F.round(F.col("makespan_ms") / F.nullif(F.col("median"), F.lit(0.0)), 6).alias("imbalance"),
         F.round(F.col("total_ms") / F.nullif(F.col("makespan_ms") * shards, F.lit(0)), 6).alias("efficiency"),
+        F.round(F.coalesce(F.col("top") / F.nullif(F.col("total_ms"), F.lit(0)), F.lit(0.0)), 6).alias("top_10_share"), "whales",
     )
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from artefold.functions.text import words
+from artefold.functions.text import tokenize
 from artefold.session import written
 
 K1, B = 1.5, 0.75
@@ -15,7 +15,7 @@ K1, B = 1.5, 0.75
 
 def postings(docs: DataFrame, id_col: str, strings: "F.Column") -> DataFrame:
     """``id, term, tf``: in how many strings of a document's array a term stands, each string counting a term once."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(strings).alias("pos", "s")).select("id", "pos", F.explode(words(F.col("s"))).alias("term"))
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(strings).alias("pos", "s")).select("id", "pos", F.explode(tokenize(F.col("s"))).alias("term"))
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 

@@ -14,10 +14,10 @@ from artefold.operators.segments import carry_previous
 
 # Patterns of diagnostics and stack frames.
 FILE = r"[A-Za-z0-9_./\\-]+\.[A-Za-z0-9_+-]+"
-GCC = rf"^({FILE}):([0-9]+):([0-9]+): *(error|warning|note|info): *(.*?)(?: +\[([^\]]+)\])?$"
-MSVC = rf"^({FILE})\(([0-9]+),([0-9]+)\): *(error|warning|note|info) *([A-Za-z0-9_]+)?:? *(.*)$"
-RUSTC_HEAD = r"^(error|warning|note)(?:\[([^\]]+)\])?: *(.*)$"
-RUSTC_PLACE = rf"^ *--> +({FILE}):([0-9]+):([0-9]+)"
+GCC = rf"^({FILE}):([0-9]+):([0-9]+):\s*(error|warning|note|info):\s*(.*?)(?:\s+\[([^\]]+)\])?$"
+MSVC = rf"^({FILE})\(([0-9]+),([0-9]+)\):\s*(error|warning|note|info)\s*([A-Za-z0-9_]+)?:?\s*(.*)$"
+RUSTC_HEAD = r"^(error|warning|note)(?:\[([^\]]+)\])?:\s*(.*)$"
+RUSTC_PLACE = rf"^\s*-->\s+({FILE}):([0-9]+):([0-9]+)"
 JAVA_FRAME = r"^at +([\w.$<>]+)\(([^:()]+):([0-9]+)\)"
 PYTHON_FRAME = r'^File +"([^"]+)", +line +([0-9]+), +in +(.+)$'
 PLAIN_FRAME = r"([A-Za-z0-9_./-]+\.[A-Za-z0-9_+-]+):([0-9]+)(?::[0-9]+)?(?: +in +([\w.$<>:]+))?"
@@ -51,14 +51,18 @@ def collapse_blanks(lines: DataFrame) -> DataFrame:
     return lines.withColumn("__was", F.lag(blank).over(w)).filter(~blank | ~F.coalesce("__was", F.lit(False))).drop("__was")
 
 
+#: Fixed value: what looks like a path in command output.
+PATHISH = r"([A-Za-z0-9_./\\-]+\.[A-Za-z0-9]+|[A-Za-z0-9_./\\-]+/[A-Za-z0-9_./\\-]+)"
+
+
 def line_class(col: Column) -> Column:
     """error, warning, git_change, path or other."""
     low = ascii_lower(col)
     return (
-        F.when(low.rlike("error|fatal|panic|failed|failure"), "error")
+        F.when(low.rlike("error|fatal"), "error")
         .when(low.contains("warn"), "warning")
-        .when(col.rlike(r"^\s*(modified:|new file:|deleted:|renamed:|[MADR?]{1,2} )"), "git_change")
-        .when(col.rlike(r"[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+"), "path")
+        .when(col.rlike("^[MAD]"), "git_change")
+        .when(col.rlike(PATHISH), "path")
         .otherwise("other")
     )
 
@@ -74,7 +78,7 @@ def command_reduce(lines: DataFrame, *, budget_bytes: int = 24_000) -> DataFrame
     line that does not fit is skipped, not the rest.  A command's distinct
     lines are folded in one row, in order.
     """
-    once = lines.select("log", "line_no", F.trim("text").alias("text")).filter("text <> ''").groupBy("log", "text").agg(F.min("line_no").alias("line_no"))
+    once = lines.select("log", "line_no", F.trim(F.translate("text", "\t", " ")).alias("text")).filter("text <> ''").groupBy("log", "text").agg(F.min("line_no").alias("line_no"))
     ranked = once.withColumn("class", line_class(F.col("text"))).withColumn("w", F.octet_length("text").cast("bigint"))
     item = F.struct((-class_score(F.col("class"))).alias("s"), "line_no", "w", "class", "text")
     folded = ranked.groupBy("log").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -136,31 +140,35 @@ def stack_slice(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("fingerprint").agg(F.min_by("title", F.struct("log", "block")).alias("title"), F.count("*").alias("occurrences"), F.min_by("n_frames", F.struct("log", "block")).alias("n_frames"))
 
 
-def diagnostics(lines: DataFrame) -> DataFrame:
+def diagnostics(lines: DataFrame, *, segment: int = 4096) -> DataFrame:
     """Compiler diagnostics of three layouts: ``log, line_no, file, line, column_no, severity, code, message``.
 
-    A bare header (``error[E1]: text``) waits for the ``-->`` line right after
-    it, else its place is ``<unknown>:0:0``.
+    A bare header (``error[E1]: text``) waits for its ``-->`` line, and takes
+    that line's number; another diagnostic or header in between makes it void.
+    One still waiting at the end of its log has the place ``<unknown>:0:0``.
     """
     t = F.col("text")
-    after = F.lead("text").over(Window.partitionBy("log").orderBy("line_no"))
-    rows = lines.withColumn("__next", after)
-    kind = F.when(t.rlike(GCC), "gcc").when(t.rlike(MSVC), "msvc").when(t.rlike(RUSTC_HEAD), "rustc")
-    got = {"gcc": (GCC, {"file": 1, "line": 2, "column_no": 3, "severity": 4, "message": 5, "code": 6}), "msvc": (MSVC, {"file": 1, "line": 2, "column_no": 3, "severity": 4, "code": 5, "message": 6})}
-    nxt = F.col("__next")
-    placed = nxt.rlike(RUSTC_PLACE)
-
-    def field(name: str) -> Column:
-        out = F.when(F.col("__kind") == "gcc", F.regexp_extract(t, GCC, got["gcc"][1][name])).when(F.col("__kind") == "msvc", F.regexp_extract(t, MSVC, got["msvc"][1][name]))
-        if name in ("severity", "code", "message"):
-            return out.otherwise(F.regexp_extract(t, RUSTC_HEAD, {"severity": 1, "code": 2, "message": 3}[name]))
-        k = {"file": 1, "line": 2, "column_no": 3}[name]
-        return out.otherwise(F.when(placed, F.regexp_extract(nxt, RUSTC_PLACE, k)).otherwise("<unknown>" if name == "file" else "0"))
-
-    return rows.withColumn("__kind", kind).filter("__kind is not null").select(
-        "log", "line_no", field("file").alias("file"), field("line").cast("int").alias("line"), field("column_no").cast("int").alias("column_no"),
-        field("severity").alias("severity"), F.nullif(field("code"), F.lit("")).alias("code"), field("message").alias("message"),
-    )
+    kind = F.when(t.rlike(GCC), "gcc").when(t.rlike(MSVC), "msvc").when(t.rlike(RUSTC_HEAD), "head").when(t.rlike(RUSTC_PLACE), "place")
+    events = lines.withColumn("kind", kind).filter("kind is not null").select("log", "line_no", "text", "kind")
+    carried = carry_previous(events, ["log"], ["line_no"], F.floor(F.col("line_no") / segment), {"before": F.struct("kind", "text")})
+    last = events.groupBy("log").agg(F.max_by(F.struct("kind", "text", "line_no"), "line_no").alias("e")).filter("e.kind = 'head'")
+
+    def rows(df: DataFrame, places: tuple[Column, Column, Column], told: tuple[Column, Column, Column]) -> DataFrame:
+        file, line, column = places
+        severity, code, message = told
+        return df.select(
+            "log", "line_no", file.alias("file"), line.cast("int").alias("line"), column.cast("int").alias("column_no"),
+            severity.alias("severity"), F.nullif(code, F.lit("")).alias("code"), F.trim(message).alias("message"),
+        )
+
+    get = lambda text, pattern, *groups: tuple(F.regexp_extract(text, pattern, g) for g in groups)
+    head = lambda text: get(text, RUSTC_HEAD, 1, 2, 3)
+    return (
+        rows(events.filter("kind = 'gcc'"), get(t, GCC, 1, 2, 3), get(t, GCC, 4, 6, 5))
+        .unionByName(rows(events.filter("kind = 'msvc'"), get(t, MSVC, 1, 2, 3), get(t, MSVC, 4, 5, 6)))
+        .unionByName(rows(carried.filter("kind = 'place' and before.kind = 'head'"), get(t, RUSTC_PLACE, 1, 2, 3), head(F.col("before.text"))))
+        .unionByName(rows(last.select("log", F.col("e.line_no").alias("line_no"), F.col("e.text").alias("text")), (F.lit("<unknown>"), F.lit(0), F.lit(0)), head(t)))
+    )
 
 
 def root_causes(found: DataFrame, *, order: list[str]) -> DataFrame:

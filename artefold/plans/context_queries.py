@@ -24,7 +24,7 @@ def _flow(spark, d) -> DataFrame:
 
 
 def graph_edges(spark, d):
-    return G.edges(_flow(spark, d).filter("pmod(xxhash64(from_path), 4) >= 0"))
+    return G.edges(_flow(spark, d))
 
 
 def _sparse(spark, d) -> DataFrame:
@@ -52,8 +52,8 @@ def symbol_query(spark, d):
 
 
 def pattern_query(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
-    return docs.filter(F.col("text").rlike(G.pattern_regex("$NAME returned $_ instead of"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    lines = table(spark, d, "diag_lines").filter(F.col("text").rlike(G.pattern_regex("$NAME returned $_ instead of")))
+    return lines.groupBy("report_id").agg(F.count("*").alias("n"))
 
 
 def topo_levels(spark, d):
@@ -262,7 +262,7 @@ def tumbling_counts(spark, d):
 def fail_success_pairs(spark, d):
     e = S.sequence(_events(spark, d).filter("kind in ('tool_invocation_failed', 'tool_invocation_completed')"))
     tool = F.coalesce(F.get_json_object("data_json", "$.tool_name"), F.get_json_object("data_json", "$.type"), F.lit(""))
-    return S.fail_then_success(e.select(F.col("task").alias("grp"), F.col("seq").alias("ord"), F.lit("tool").alias("program"), (F.col("kind") == "tool_invocation_failed").alias("failed")))
+    return S.fail_then_success(e.select(F.col("task").alias("grp"), F.col("seq").alias("ord"), tool.alias("program"), (F.col("kind") == "tool_invocation_failed").alias("failed")))
 
 
 def _gains(spark, d) -> DataFrame:
@@ -334,7 +334,7 @@ ORACLE = {
     "degree_centrality": _SP + " select * from c",
     "repo_rank_topk": _SP + " select path, round((length(path) % 3 / 2.0) * 0.45 + 0.5 * 0.25 + centrality * 0.2, 6)::double as score from c order by score desc, path limit 80",
     "symbol_query": "with s as (select unnest(symbols) as name from agent_events), g as (select name, count(*) as n from s group by 1) select name, n, case when name = 'write_grams' then 1.0 when lower(name) = 'write_grams' then 0.98 else 0.55 end::double as score from g where contains(lower(name), 'write_grams')",
-    "pattern_query": r"select doc_id, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as t from documents) where regexp_matches(t, '[A-Za-z_][A-Za-z0-9_]*\s+returned\s+.+?\s+instead\s+of') group by 1",
+    "pattern_query": r"select report_id, count(*) as n from diag_lines where regexp_matches(text, '[A-Za-z_][A-Za-z0-9_]*\s+returned\s+.+?\s+instead\s+of') group by 1",
     "topo_levels": "with recursive r(id, level) as (select s_suppkey, 0 from supplier where s_suppkey <= 1 or s_suppkey // 3 not in (select s_suppkey from supplier) union all select s_suppkey, level + 1 from supplier join r on r.id = s_suppkey // 3 where s_suppkey > 1) select id, level from r",
     "schedule_prefix_budget": "with s as (select l_orderkey as run, l_linenumber as ord, sum(l_quantity)::bigint as cost from lineitem group by 1, 2), u as (select *, sum(cost) over (partition by run order by ord) as used from s) select run, ord, cost, case when used <= 90 then 'ran' else 'budget_exceeded' end as status from u",
     "plan_violations": _E + _STEPS + """, rd as (select plan, path, min(ord) as fr from st where action = 'read' and path is not null group by 1, 2), tt as (select plan, max(ord) as lt from st where action = 'test' group by 1)
@@ -376,7 +376,7 @@ ORACLE = {
     "debounce_sessions": _E + ", n as (select *, case when ts - lag(ts) over w <= 600 then 0 else 1 end as f from ev window w as (partition by task order by ts, event_id)), g as (select *, sum(f) over (partition by task order by ts, event_id) as b from n) select task, min(ts) as first_at, max(ts) as last_at, count(*) as n from g group by task, b",
     "token_window_threshold": _E + ", p as (select task, strlen(data_json) // 4 as t, coalesce(sum((kind = 'checkpoint_saved')::int) over (partition by task order by ts, event_id rows between unbounded preceding and 1 preceding), 0)::bigint as part from ev), g as (select task, part, sum(t)::bigint as tokens from p group by 1, 2) select *, case when tokens >= 270 then 'force' when tokens >= 225 then 'prepare' when tokens >= 150 then 'warn' else 'none' end as level from g",
     "tumbling_counts": _E + "select time_bucket(interval '6 hours', delivered_at, timestamp '1970-01-01') as start, kind, count(*) as n from ev group by 1, 2",
-    "fail_success_pairs": _E + ", q as (select task as grp, row_number() over (partition by task order by ts, event_id) as ord, kind from ev where kind in ('tool_invocation_failed', 'tool_invocation_completed')), x as (select *, lead(kind) over (partition by grp order by ord) as nx from q) select grp, ord::int as ord, 'tool' as program from x where kind = 'tool_invocation_failed' and nx = 'tool_invocation_completed'",
+    "fail_success_pairs": _E + ", q as (select task as grp, row_number() over (partition by task order by ts, event_id) as ord, kind, coalesce(data_json ->> '$.tool_name', data_json ->> '$.type', '') as program from ev where kind in ('tool_invocation_failed', 'tool_invocation_completed')), x as (select *, lead(kind) over w as nx, lead(program) over w as np from q window w as (partition by grp order by ord)) select grp, ord::int as ord, program from x where kind = 'tool_invocation_failed' and nx = 'tool_invocation_completed' and np = program",
     "gain_summary": "with g as (select coalesce(budget_cost.est_tokens, 0) as raw, coalesce(budget_cost.payload_est_tokens, 0) as reduced from packets) select count(*) as n, sum(raw)::bigint as raw, sum(reduced)::bigint as reduced, sum(greatest(raw - reduced, 0))::bigint as saved, round(100.0 * sum(greatest(raw - reduced, 0)) / sum(raw), 6)::double as pct from g",
     "gain_by_kind": "select kind, count(*) as n, sum(greatest(coalesce(budget_cost.est_tokens, 0) - coalesce(budget_cost.payload_est_tokens, 0), 0))::bigint as saved from packets group by 1",
     "missed_savings": "select record_id, coalesce(budget_cost.est_tokens, 0) as raw from packets where coalesce(budget_cost.est_tokens, 0) - coalesce(budget_cost.payload_est_tokens, 0) > 100 order by raw desc, record_id limit 20",

@@ -166,7 +166,7 @@ def lpt_shards(spark, d):
 
 
 def shard_metrics(spark, d):
-    return I.shard_metrics(table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("shard_id"), F.col("l_quantity").cast("bigint").alias("est_ms")), 7)
+    return I.shard_metrics(table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("shard_id"), F.col("l_quantity").cast("bigint").alias("est_ms")), 7, whale_ms=48)
 
 
 def tag_filter(spark, d):
@@ -242,6 +242,6 @@ ORACLE = {
   select q.rk, f.l0 + case when s = 0 then q.est_ms else 0 end, f.l1 + case when s = 1 then q.est_ms else 0 end, f.l2 + case when s = 2 then q.est_ms else 0 end, f.l3 + case when s = 3 then q.est_ms else 0 end, q.id, q.est_ms, s
   from f join ranked q on q.rk = f.rk + 1, lateral (select case when f.l0 <= least(f.l1, f.l2, f.l3) then 0 when f.l1 <= least(f.l2, f.l3) then 1 when f.l2 <= f.l3 then 2 else 3 end as s) x)
   select * from f) t) select k as shard_id, id, est_ms from r where k >= 0""",
-    "shard_metrics": "with l as (select sum(l_quantity::bigint)::bigint as load from lineitem group by l_suppkey % 7) select max(load) as makespan_ms, sum(load)::bigint as total_ms, round(max(load) / median(load), 6) as imbalance, round(sum(load)::double / (max(load) * 7), 6) as efficiency from l",
+    "shard_metrics": "with l as (select sum(l_quantity::bigint)::bigint as load from lineitem group by l_suppkey % 7) select max(load) as makespan_ms, sum(load)::bigint as total_ms, round(max(load) / median(load), 6) as imbalance, round(sum(load)::double / (max(load) * 7), 6) as efficiency, round((select sum(q) from (select l_quantity::bigint as q from lineitem order by q desc limit 10))::double / sum(load), 6) as top_10_share, (select count(*) from lineitem where l_quantity::bigint > 48) as whales from l",
     "tag_filter": "select p_partkey from part where list_has_any(list_transform(string_split(p_type, ' '), lambda x: lower(x)), ['brass', 'tin', 'small']) and not list_has_any(list_transform(string_split(p_type, ' '), lambda x: lower(x)), ['polished'])",
 }

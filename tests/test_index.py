@@ -10,7 +10,7 @@ from artefold.session import table
 def test_index_holds_the_grams_of_all_lines(spark, small):
     texts = [r.text for r in table(spark, small, "documents").collect() if r.text is not None]
     want = Counter(g for t in texts for g in {t[i : i + 3] for i in range(len(t) - 2)})
-    assert {r.gram: r.docs for r in registry.queries()["trigram_index_whole"](spark, small).collect()} == want
+    assert {r.gram: r.docs for r in registry.queries()["trigram_index_size"](spark, small).collect()} == want
 
 
 def test_search_reads_the_whole_index(spark, small, monkeypatch):

@@ -107,9 +107,9 @@ def test_symbols_imports_and_edges(spark):
 
 
 def test_rustc_headers_wait_for_their_place(spark):
-    t = ["error[E0308]: mismatched types", "  --> src/a.rs:3:5", "warning: unused", "error: last", "x/y.c:1:2: note: hi [flag]", "f.cs(3,4): error CS1: bad"]
+    t = ["error[E0308]: mismatched types", "   |", "  --> src/a.rs:3:5", "  --> src/b.rs:3:5", "warning: void", "error: void", "x/y.c:1:2: note: hi [flag]", "f.cs(3,4):\terror CS1: bad", "error: last", "text"]
     rows = L.diagnostics(spark.createDataFrame([("l", i, s) for i, s in enumerate(t)], "log string, line_no int, text string")).orderBy("line_no").collect()
-    assert [(r.file, r.line, r.severity, r.code) for r in rows] == [("src/a.rs", 3, "error", "E0308"), ("<unknown>", 0, "warning", None), ("<unknown>", 0, "error", None), ("x/y.c", 1, "note", "flag"), ("f.cs", 3, "error", "CS1")]
+    assert [(r.file, r.line, r.severity, r.code) for r in rows] == [("src/a.rs", 3, "error", "E0308"), ("x/y.c", 1, "note", "flag"), ("f.cs", 3, "error", "CS1"), ("<unknown>", 0, "error", None)]
 
 
 def test_comments_and_commands(spark):

@@ -135,9 +135,21 @@ def stack_blocks(lines: DataFrame, *, segment: int = 4096) -> DataFrame:
     return rows.select("log", "block", "title", fingerprint(ascii_lower(F.col("title")), F.array_join(F.expr("transform(top, x -> x.f)"), "|")).alias("fingerprint"), "n_frames")
 
 
-def stack_slice(blocks: DataFrame) -> DataFrame:
-    """``fingerprint, title, occurrences, n_frames``: one row per distinct failure, shown by its first block."""
-    return blocks.groupBy("fingerprint").agg(F.min_by("title", F.struct("log", "block")).alias("title"), F.count("*").alias("occurrences"), F.min_by("n_frames", F.struct("log", "block")).alias("n_frames"))
+def stack_slice(blocks: DataFrame, *, max_failures: int | None = None) -> DataFrame:
+    """``fingerprint, title, occurrences, n_frames``: one row per distinct failure, shown by its first block.
+
+    ``max_failures`` keeps the first so many in order of appearance.
+    """
+    key = F.struct("log", "block")
+    rows = blocks.groupBy("fingerprint").agg(F.min(key).alias("__first"), F.min_by("title", key).alias("title"), F.count("*").alias("occurrences"), F.min_by("n_frames", key).alias("n_frames"))
+    rows = rows if max_failures is None else rows.orderBy("__first").limit(max_failures)
+    return rows.drop("__first")
+
+
+def slice_totals(sliced: DataFrame) -> DataFrame:
+    """One row: all failures, distinct ones, and how many repeats were removed."""
+    t = sliced.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).cast("bigint").alias("total"), F.count("*").alias("distinct_failures"))
+    return t.withColumn("duplicates_removed", F.col("total") - F.col("distinct_failures"))
 
 
 def diagnostics(lines: DataFrame, *, segment: int = 4096) -> DataFrame:

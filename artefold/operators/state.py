@@ -40,6 +40,54 @@ def snapshot(events: DataFrame) -> DataFrame:
     )
 
 
+def agent_parts(events: DataFrame) -> DataFrame:
+    """``task, part, item``: the state of each task, folded from its events ``(task, at, event_id, kind, paths, symbols, data_json)``.
+
+    Every event adds items to parts, removes items or clears a part; an item
+    is there if its last addition is after its last removal and the last
+    clearing of the part.  All are partial aggregates, so no task is hot.
+    Parts of one value hold the latest.
+    """
+    field = lambda n: F.get_json_object("data_json", f"$.{n}")
+    one = lambda c: F.array_compact(F.array(c))
+    none, nothing = F.lit(None).cast("array<string>"), F.array().cast("array<string>")
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    cleared_all = is_("focus_cleared") & (field("clear_all") == "true")
+    # (part, adds, removes, clears)
+    rules = (
+        ("focus_paths", F.when(is_("focus_set"), F.col("paths")), F.when(is_("focus_cleared"), F.col("paths")), cleared_all),
+        ("focus_symbols", F.when(is_("focus_set"), F.col("symbols")), F.when(is_("focus_cleared"), F.col("symbols")), cleared_all),
+        ("files_read", F.when(is_("file_read"), F.col("paths")), none, F.lit(False)),
+        ("files_edited", F.when(is_("file_edited"), F.col("paths")), none, F.lit(False)),
+        ("changed_paths", F.when(is_("file_edited"), F.col("paths")), none, is_("checkpoint_saved")),
+        ("changed_symbols", F.when(is_("file_edited"), F.col("symbols")), none, is_("checkpoint_saved")),
+        ("decisions", F.when(is_("decision_added"), one(field("decision_id"))), F.when(is_("decision_added"), one(field("supersedes"))).when(is_("decision_superseded"), one(field("decision_id"))), F.lit(False)),
+        ("completed_steps", F.when(is_("step_completed"), one(field("step_id"))), none, F.lit(False)),
+        ("open_questions", F.when(is_("question_opened"), one(field("question_id"))), F.when(is_("question_resolved"), one(field("question_id"))), F.lit(False)),
+        ("evidence", F.when(is_("evidence_captured"), one(field("artifact_id"))), none, F.lit(False)),
+        ("failed_tools", F.when(is_("tool_invocation_failed"), one(field("tool_name"))), none, F.lit(False)),
+        ("checkpoint_paths", F.when(is_("checkpoint_saved"), F.coalesce("paths", nothing)), none, F.lit(False)),
+        ("checkpoint", F.when(is_("checkpoint_saved"), one(field("checkpoint_id"))), none, F.lit(False)),
+    )
+    touched = F.array_compact(F.array(*[
+        F.when(adds.isNotNull() | removes.isNotNull() | clears, F.struct(F.lit(part).alias("part"), F.coalesce(adds, nothing).alias("adds"), F.coalesce(removes, nothing).alias("removes"), clears.alias("clears")))
+        for part, adds, removes, clears in rules
+    ]))
+    rows = events.select("task", ordered("at", "event_id").alias("key"), F.explode(touched).alias("t")).select("task", "key", "t.*")
+    items = F.array_union(F.transform("adds", lambda x: F.struct(x.alias("item"), F.lit(True).alias("add"))), F.transform("removes", lambda x: F.struct(x.alias("item"), F.lit(False).alias("add"))))
+    long = rows.select("task", "part", "key", F.explode(items).alias("i")).filter("i.item is not null")
+    last = long.groupBy("task", "part", F.col("i.item").alias("item")).agg(F.max(F.when(F.col("i.add"), F.col("key"))).alias("a"), F.max(F.when(~F.col("i.add"), F.col("key"))).alias("r"))
+    clears = rows.filter("clears").groupBy("task", "part").agg(F.max("key").alias("c"))
+    latest = rows.filter("part in ('checkpoint', 'checkpoint_paths')").groupBy("task", "part").agg(F.max("key").alias("l"))
+    there = last.filter("a is not null").join(clears, ["task", "part"], "left").join(latest, ["task", "part"], "left")
+    return there.filter("(r is null or a > r) and (c is null or a > c) and (l is null or a = l)").select("task", "part", "item")
+
+
+def replayed(events: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` events of each task in their order; 0 is all."""
+    return events if n == 0 else last_n(events, n).drop("back")
+
+
 def last_n(events: DataFrame, n: int) -> DataFrame:
     """The last ``n`` events of each task, newest first as ``back`` 1."""
     w = Window.partitionBy("task").orderBy(F.desc("at"), F.desc("event_id"))

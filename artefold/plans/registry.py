@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from artefold.plans import broker_queries, context_queries, coverage_queries, native_queries, p_queries, packet_queries, text_queries
+from artefold.plans import broker_queries, context_queries, coverage_queries, native_queries, p_queries, packet_queries, source_queries, text_queries
 
-MODULES = (p_queries, coverage_queries, text_queries, context_queries, native_queries, broker_queries, packet_queries)
+MODULES = (p_queries, coverage_queries, text_queries, context_queries, native_queries, broker_queries, packet_queries, source_queries)
 
 
 #: Operators that users add: name -> function of (session, folder), like all queries here.

@@ -32,14 +32,14 @@ def read_files(spark: SparkSession, glob: str, *, check_empty: bool = True) -> D
 def detect(files: DataFrame) -> DataFrame:
     """``path, format``: by extension, else by the first 512 characters."""
     head = F.substring("content", 1, 512)
-    low = F.lower("path")
     fmt = (
-        F.when(low.endswith(".info"), "lcov")
-        .when(head.rlike("(?m)^(TN|SF):"), "lcov")
-        .when(head.rlike("^\\s*mode:"), "gocov")
-        .when(head.contains("<coverage"), "cobertura")
-        .when(head.contains("<report"), "jacoco")
-        .when(F.col("content").contains("llvm.coverage.json.export"), "llvmcov")
+        F.when(F.col("path").endswith(".info") | F.col("path").endswith(".lcov"), "lcov")
+        .when(head.rlike("^(TN|SF):") | head.contains("\nSF:"), "lcov")
+        .when(head.startswith("mode:"), "gocov")
+        .when(head.contains("<coverage") | head.contains("<cobertura"), "cobertura")
+        .when(head.contains("<!DOCTYPE report") | head.contains("<report"), "jacoco")
+        .when(head.contains('"type"') & head.contains("llvm.coverage.json.export"), "llvmcov")
+        .when(F.ltrim(head).startswith("{") & head.contains('"data"') & head.contains('"files"'), "llvmcov")
         .when(head.contains('"$schema"') & F.col("content").contains("sarif"), "sarif")
         .otherwise("unknown")
     )
@@ -102,9 +102,9 @@ def llvmcov_lines(files: DataFrame) -> DataFrame:
     segments and those without a count give none.
     """
     schema = "data array<struct<files: array<struct<filename: string, segments: array<array<string>>>>>>"
-    seg = files.select(F.from_json("content", schema).alias("j")).select(F.explode("j.data").alias("d")).select(F.explode("d.files").alias("f"))
-    seg = seg.select(F.col("f.filename").alias("path"), F.posexplode("f.segments").alias("pos", "s"))
-    w = Window.partitionBy("path").orderBy("pos")
+    seg = files.select(F.col("path").alias("file"), F.from_json("content", schema).alias("j")).select("file", F.posexplode("j.data").alias("part", "d")).select("file", "part", F.posexplode("d.files").alias("at", "f"))
+    seg = seg.select("file", "part", "at", F.col("f.filename").alias("path"), F.posexplode("f.segments").alias("pos", "s"))
+    w = Window.partitionBy("file", "part", "at").orderBy("pos")
     seg = seg.select("path", F.size("s").alias("n"), F.get("s", F.lit(0)).cast("int").alias("line"), F.get("s", F.lit(2)).cast("bigint").alias("count"), F.get("s", F.lit(3)).alias("has"), F.lead(F.get("s", F.lit(0)).cast("int")).over(w).alias("nxt"))
     rows = seg.filter("n >= 5 and has = 'true'").select("path", "count", F.explode(F.sequence("line", F.greatest("line", F.coalesce(F.col("nxt") - 1, F.col("line"))))).alias("line"))
     return rows.groupBy("path", "line").agg(F.max(F.col("count") > 0).alias("covered"))
@@ -155,12 +155,12 @@ def sarif_issues(files: DataFrame) -> DataFrame:
     rows = runs.select("file", "run", F.col("r.tool.driver.name").alias("source"), F.col("r.tool.driver.rules").alias("rules"), F.posexplode("r.results").alias("pos", "x"))
     loc = F.get("x.locations", F.lit(0))["physicalLocation"]
     rule = F.coalesce("x.ruleId", F.get("rules", F.col("x.ruleIndex"))["id"], F.lit("unknown"))
-    own = lambda m: F.element_at(F.array_sort(F.filter(F.map_values(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda v: v != "")), 1)
+    own = lambda m: F.get(F.filter(F.array_sort(F.map_entries(m)), lambda e: e["value"] != ""), F.lit(0))["value"]
     level = F.coalesce("x.level", F.lit("warning"))
     flat = rows.select(
         F.struct("file", "run", "pos").alias("o"), clean_path(loc["artifactLocation"]["uri"]).alias("path"), loc["region"]["startLine"].alias("line"), loc["region"]["startColumn"].alias("column_no"),
         loc["region"]["endLine"].alias("end_line"), severity(level).alias("severity"), rule.alias("rule_id"), F.col("x.message.text").alias("message"), "source",
-        F.when(F.size(F.coalesce("x.fingerprints", F.create_map().cast("map<string,string>"))) > 0, own(F.col("x.fingerprints"))).when(F.size(F.coalesce("x.partialFingerprints", F.create_map().cast("map<string,string>"))) > 0, own(F.col("x.partialFingerprints"))).alias("fp"),
+        F.coalesce(own(F.col("x.fingerprints")), own(F.col("x.partialFingerprints"))).alias("fp"),
     )
     flat = flat.filter("path is not null and line > 0")
     flat = flat.withColumn("fingerprint", F.coalesce("fp", F.substring(F.sha2(F.concat_ws(":", "path", F.col("line").cast("string"), "rule_id", F.coalesce("message", F.lit(""))), 256), 1, 32)))
@@ -205,6 +205,22 @@ def manifest_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("test_id", "language", "duration_ms", reports.alias("reports"), F.coalesce(ok, F.lit(False)).alias("ok")).filter(F.assert_true("ok", F.concat(F.lit("bad manifest record: "), F.coalesce("test_id", F.lit("")))).isNull()).drop("ok")
 
 
+def planned_tasks(spark: SparkSession, *, tasks_json: str | None = None, tests_file: str | None = None, impact_json: str | None = None) -> DataFrame:
+    """``id, tags`` of exactly one source: a JSON task list, a file with one id a line, or the JSON of an impact result."""
+    if sum(x is not None for x in (tasks_json, tests_file, impact_json)) != 1:
+        raise ValueError("give exactly one of tasks_json, tests_file and impact_json")
+    none = F.array().cast("array<string>").alias("tags")
+    if tests_file is not None:
+        rows = spark.read.text(tests_file).select(F.trim("value").alias("id"), none)
+    elif impact_json is not None:
+        read = spark.read.schema("selected_tests array<string>").option("mode", "FAILFAST").option("multiLine", "true").json(impact_json)
+        rows = read.select(F.explode("selected_tests").alias("id"), none)
+    else:
+        read = spark.read.schema("tasks array<struct<id: string, tags: array<string>>>").option("mode", "FAILFAST").option("multiLine", "true").json(tasks_json)
+        rows = read.select(F.explode("tasks").alias("t")).select(F.trim("t.id").alias("id"), F.coalesce("t.tags", F.array().cast("array<string>")).alias("tags"))
+    return rows.filter("id <> ''")
+
+
 def source_lines(spark: SparkSession, root: str, *, glob: str = "*", skip: str = r"/(vendor|node_modules|target|dist|\.git)/", most_bytes: int = 2 * 1024 * 1024) -> DataFrame:
     """``path, line, text`` of the text files below ``root``; vendored, large, empty and binary files are skipped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)

@@ -41,3 +41,49 @@ def write_table(df: DataFrame, path: str, *, by: str | None = None, sort: str =
 def write_artifacts(packets: DataFrame, path: str) -> None:
     """Packets as JSON lines, partitioned by the first byte of their handle."""
     packets.withColumn("shard", F.substring("handle", 1, 2)).write.mode("overwrite").partitionBy("shard").json(path)
+
+
+CACHE_VERSION = 2  # fixed value: the layout of a stored cache
+
+
+def save_cache(entries: DataFrame, path: str, *, ttl_secs: int, now: int) -> None:
+    """Writes the entries ``(cache_key, created, ...)`` that are still alive, under the version of the layout; 0 keeps all."""
+    live = entries if ttl_secs == 0 else entries.filter(F.lit(now) - F.col("created") <= ttl_secs)
+    live.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/version={CACHE_VERSION}")
+
+
+def load_cache(spark, path: str, *, ttl_secs: int, now: int) -> tuple[DataFrame | None, dict[str, int]]:
+    """The live entries of a stored cache, and counters of what was left out.
+
+    ``old_version`` and ``unreadable`` count stores, ``expired`` entries.  A
+    store of another version, or a broken one, gives no entries and no error.
+    """
+    counters = {"old_version": 0, "unreadable": 0, "expired": 0}
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    if f"version={CACHE_VERSION}" not in versions:
+        counters["old_version"] = sum(v.startswith("version=") for v in versions)
+        return None, counters
+    try:
+        rows = spark.read.parquet(f"{path}/version={CACHE_VERSION}")
+        age = F.lit(now) - F.col("created")
+        counters["expired"] = rows.filter(age > ttl_secs).count() if ttl_secs else 0
+    except Exception:  # a broken store is started anew
+        counters["unreadable"] = 1
+        return None, counters
+    return (rows.filter(age <= ttl_secs) if ttl_secs else rows), counters
+
+
+def report_json(files: DataFrame) -> DataFrame:
+    """``path, text``: one JSON object per file of a coverage report."""
+    return files.select("path", F.to_json(F.struct("path", "covered", "instrumented", F.round("pct", 2).alias("pct"))).alias("text"))
+
+
+def pr_comment(files: DataFrame, *, most: int = 20) -> DataFrame:
+    """``ord, text``: the lines of a comment: total, then the ``most`` least covered files."""
+    total = files.agg(F.sum("covered").alias("c"), F.sum("instrumented").alias("i"))
+    head = total.select(F.lit(0).alias("ord"), F.format_string("**Coverage: %.1f%%**", F.coalesce(F.col("c") * 100.0 / F.nullif("i", F.lit(0)), F.lit(0.0))).alias("text"))
+    rows = files.orderBy(F.coalesce("pct", F.lit(0.0)), "path").limit(most)
+    body = rows.select(F.lit(1).alias("ord"), F.format_string("- `%s` %.1f%%", "path", F.coalesce("pct", F.lit(0.0))).alias("text"))
+    return head.unionByName(body)

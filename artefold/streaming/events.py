@@ -2,7 +2,7 @@
 
 ``snapshot_stream`` keeps a fold per task, ``exactly_once_stream`` and
 ``admit_batches`` admit each event once, ``debounce_stream`` finds bursts by
-session windows.
+session windows, ``append_log`` numbers events per task in an append-only log.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -44,6 +44,33 @@ def admit_batches(store: SeenStore, sink: str):
     return run
 
 
+def event_source(spark, folder: str, schema: str, *, files_at_once: int = 100):
+    """A stream of event files (JSON lines) that arrive in a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(folder)
+
+
+def append_log(log: str):
+    """A ``foreachBatch`` function: appends events ``(task_id, kind, occurred_at_unix, data_json)`` to a log of JSON lines with ``seq``, from 1 without gaps in each task.
+
+    Numbers go on from those in the log.  A batch that is repeated after a
+    failure overwrites its own part, so no event is logged twice.
+    """
+    schema = "seq bigint, task_id string, kind string, occurred_at_unix bigint, data_json string"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(log)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        parts = [str(s.getPath()) for s in (fs.listStatus(at) if fs.exists(at) else []) if s.getPath().getName() != f"batch={batch_id}"]
+        old = spark.read.schema(schema).json(parts) if parts else spark.createDataFrame([], schema)
+        tops = old.groupBy("task_id").agg(F.max("seq").alias("top"))
+        w = Window.partitionBy("task_id").orderBy("occurred_at_unix", "kind", "data_json")
+        rows = batch.filter("task_id is not null").withColumn("n", F.row_number().over(w)).join(tops, "task_id", "left")
+        rows.select((F.col("n") + F.coalesce("top", F.lit(0))).alias("seq"), "task_id", "kind", "occurred_at_unix", "data_json").write.mode("overwrite").json(f"{log}/batch={batch_id}")
+
+    return run
+
+
 def tumbling_stream(events: DataFrame, *, width: str = "6 hours", late: str = "1 day", at: str = "delivered_at") -> DataFrame:
     w = _timed(events, at).withWatermark(at, late).groupBy(F.window(at, width).alias("w"), "kind").agg(F.count("*").alias("n"))
     return w.select(F.col("w.start").alias("start"), "kind", "n")

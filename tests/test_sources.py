@@ -5,6 +5,7 @@ import json
 import pytest
 
 from artefold.sources import formats as F
+from artefold.sources import sinks as S
 
 
 def files(spark, *contents, name="x"):
@@ -57,6 +58,40 @@ def test_detection_and_mixed_reading(spark):
         F.coverage(f, fmt="nope")
 
 
+def test_detection_by_name_and_structure(spark):
+    f = spark.createDataFrame([("a/x.lcov", "?"), ("b.json", '{"data": [{"files": []}]}'), ("c.xml", "<!DOCTYPE report>"), ("d.xml", "<cobertura>"), ("e", " mode: set")], "path string, content string")
+    assert [r.format for r in F.detect(f).orderBy("path").collect()] == ["lcov", "llvmcov", "jacoco", "cobertura", "unknown"]
+
+
+def test_segments_of_two_files_on_one_path(spark):
+    one = json.dumps({"data": [{"files": [{"filename": "m.rs", "segments": [[1, 1, 1, True, True], [9, 1, 0, False, False]]}]}]})
+    two = json.dumps({"data": [{"files": [{"filename": "m.rs", "segments": [[4, 1, 0, True, True], [6, 1, 0, False, False]]}]}]})
+    assert {r[1] for r in lines(F.llvmcov_lines(files(spark, one, two)))} == set(range(1, 9))
+
+
+def test_tasks_come_from_exactly_one_source(spark, tmp_path):
+    (tmp_path / "t.txt").write_text(" a::b \n\nc\n")
+    (tmp_path / "i.json").write_text(json.dumps({"selected_tests": ["x"], "stale": False}, indent=1))
+    (tmp_path / "k.json").write_text(json.dumps({"tasks": [{"id": " y ", "tags": ["unit"]}, {"id": ""}]}))
+    got = lambda **k: [(r.id, r.tags) for r in F.planned_tasks(spark, **k).collect()]
+    assert got(tests_file=f"{tmp_path}/t.txt") == [("a::b", []), ("c", [])]
+    assert got(impact_json=f"{tmp_path}/i.json") == [("x", [])] and got(tasks_json=f"{tmp_path}/k.json") == [("y", ["unit"])]
+    with pytest.raises(ValueError):
+        F.planned_tasks(spark, tests_file="a", impact_json="b")
+
+
+def test_cache_keeps_live_entries_and_counts_the_rest(spark, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    assert S.load_cache(spark, path, ttl_secs=10, now=100) == (None, {"old_version": 0, "unreadable": 0, "expired": 0})
+    rows = spark.createDataFrame([("a", 50), ("b", 95)], "cache_key string, created long")
+    S.save_cache(rows, path, ttl_secs=10, now=100)
+    got, n = S.load_cache(spark, path, ttl_secs=10, now=104)
+    assert [r.cache_key for r in got.collect()] == ["b"] and n["expired"] == 0
+    assert S.load_cache(spark, path, ttl_secs=10, now=200)[1]["expired"] == 1
+    (tmp_path / "cache" / "version=2").rename(tmp_path / "cache" / "version=1")
+    assert S.load_cache(spark, path, ttl_secs=10, now=104) == (None, {"old_version": 1, "unreadable": 0, "expired": 0})
+
+
 def test_junit(spark):
     x = '<testsuites><testsuite name="s"><testcase classname="a.B" name="t1" time="0.0125"/><testcase classname="a.B" name="t2" time="-1"/></testsuite></testsuites>'
     assert {tuple(r) for r in F.junit_timings(files(spark, x)).collect()} == {("a.B.t1", 13), ("a.B.t2", 0)}

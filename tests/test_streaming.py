@@ -48,6 +48,23 @@ def test_a_batch_lost_after_the_commit_comes_again(spark, small, tmp_path):
     assert store.version() == 1 and out.filter(canonical_uuid("event_id").isNotNull()).count() == want
 
 
+def test_log_numbers_go_on_and_repeats_overwrite(spark, tmp_path):
+    rows = lambda *xs: spark.createDataFrame(xs, "task_id string, kind string, occurred_at_unix long, data_json string")
+    run = E.append_log(f"{tmp_path}/log")
+    for batch_id, batch in ((0, rows(("t", "a", 1, None), ("u", "a", 1, None))), (1, rows(("t", "b", 0, "{}"), ("t", "c", 5, None))), (1, rows(("t", "b", 0, "{}"), ("t", "c", 5, None)))):
+        run(batch, batch_id)
+    got = spark.read.json(f"{tmp_path}/log").select("task_id", "seq", "kind").collect()
+    assert sorted(tuple(r) for r in got) == [("t", 1, "a"), ("t", 2, "b"), ("t", 3, "c"), ("u", 1, "a")]
+
+
+def test_event_files_are_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"task_id": "t", "kind": "a", "occurred_at_unix": 1}\n')
+    q = E.event_source(spark, f"{tmp_path}/in", "task_id string, kind string, occurred_at_unix long").writeStream.format("memory").queryName("arrived").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [tuple(r) for r in spark.table("arrived").collect()] == [("t", "a", 1)]
+
+
 def test_exactly_once_and_bursts(spark, small, tmp_path):
     _run(E.exactly_once_stream(_stream(spark, small)), "once", "append", tmp_path)
     batch = spark.read.parquet(f"{small}/agent_events.parquet")

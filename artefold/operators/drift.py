@@ -91,25 +91,46 @@ def ingest(files: DataFrame, stores: tuple[Store, ...]) -> DataFrame:
 
     def typed(df: DataFrame, part: str) -> DataFrame:
         targets = _targets(stores, part)
-        fits = lambda k, v: F.coalesce(F.element_at(targets, F.concat_ws(".", F.col("store"), k)) == json_type(v), F.lit(False))
-        some = F.map_filter("doc", lambda k, v: ~F.is_variant_null(v))
-        return df.withColumn("doc", some).select(
-            "file_id", "stream_id", "written_at", "store", "part", "ordinal", "rec_key",
-            F.map_filter("doc", fits).alias("typed"), F.map_filter("doc", lambda k, v: ~fits(k, v)).alias("rescued"),
-        )
+        fits = lambda e: F.coalesce(F.element_at(targets, F.concat_ws(".", F.col("store"), e["key"])) == json_type(e["value"]), F.lit(False))
+        some = F.filter(F.map_entries("doc"), lambda e: ~F.is_variant_null(e["value"]))
+        judged = F.transform(some, lambda e: F.struct(e.alias("e"), fits(e).alias("fits")))  # each value is looked at once
+        side = lambda test: F.map_from_entries(F.transform(F.filter("judged", test), lambda x: x["e"]))
+        return df.withColumn("judged", judged).select(
+            "file_id", "stream_id", "written_at", "store", "part", "ordinal", "rec_key", side(lambda x: x["fits"]).alias("typed"), side(lambda x: ~x["fits"]).alias("rescued")
+        )
 
     return typed(root, "root").unionByName(typed(records, "record"))
 
 
-def field_values(ingested: DataFrame, stores: tuple[Store, ...]) -> DataFrame:
-    """Long form: one row for each value, ``field`` named as in the change list."""
+def _named(stores: tuple[Store, ...], name: Column) -> Column:
+    """A field as the change list names it."""
     arrays = F.create_map(*[F.lit(x) for s in stores for x in (s.name, s.array + ".")])
-    long = ingested.select("file_id", "stream_id", "written_at", "store", "part", "rec_key", F.explode(F.map_concat("typed", "rescued")).alias("name", "value"))
-    return long.filter("name <> ''").select(
-        "file_id", "stream_id", "written_at", "part", "rec_key",
-        F.when(F.col("part") == "root", F.col("name")).otherwise(F.concat(F.element_at(arrays, F.col("store")), "name")).alias("field"),
-        json_type(F.col("value")).alias("type"), F.to_json("value").alias("text"),
-    )
+    return F.when(F.col("part") == "root", name).otherwise(F.concat(F.element_at(arrays, F.col("store")), name))
+
+
+def field_types(ingested: DataFrame, stores: tuple[Store, ...]) -> DataFrame:
+    """``file_id, stream_id, written_at, part, field, kind, n``: how many values of each type a field has in a file.
+
+    What the target schema took has the type of its column; only rescued
+    values are looked at.
+    """
+    where = ["file_id", "stream_id", "written_at", "store", "part"]
+    target = lambda part: F.element_at(_targets(stores, part), F.concat_ws(".", "store", "k"))
+    took = F.transform(F.map_keys("typed"), lambda k: F.struct(k.alias("k"), F.lit(None).cast("string").alias("kind")))
+    left = F.transform(F.map_entries("rescued"), lambda e: F.struct(e["key"].alias("k"), json_type(e["value"]).alias("kind")))
+    rows = ingested.select(*where, F.explode(F.concat(took, left)).alias("f")).select(*where, "f.k", "f.kind").filter("k <> ''")
+    rows = rows.groupBy(*where, "k", "kind").agg(F.count("*").alias("n"))
+    kind = F.coalesce("kind", F.when(F.col("part") == "root", target("root")).otherwise(target("record")))
+    return rows.select("file_id", "stream_id", "written_at", "part", _named(stores, F.col("k")).alias("field"), kind.alias("kind"), "n")
+
+
+def field_values(ingested: DataFrame, stores: tuple[Store, ...], wanted: DataFrame) -> DataFrame:
+    """``file_id, part, field, rec_key, type, text``: the values of the ``wanted`` fields ``(file_id, part, field)``."""
+    keep = wanted.groupBy("file_id", "part").agg(F.collect_set("field").alias("__f"))  # names of one file's fields
+    rows = ingested.join(keep, ["file_id", "part"])
+    held = F.map_filter(F.map_concat("typed", "rescued"), lambda k, v: F.array_contains("__f", _named(stores, k)))
+    long = rows.select("file_id", "store", "part", "rec_key", F.explode(held).alias("name", "value"))
+    return long.select("file_id", "part", _named(stores, F.col("name")).alias("field"), "rec_key", json_type(F.col("value")).alias("type"), F.to_json("value").alias("text"))
 
 
 def changes(files: DataFrame, stores: tuple[Store, ...], *, segment: str = "week", least_equal: float = 0.5) -> DataFrame:
@@ -122,13 +143,14 @@ def changes(files: DataFrame, stores: tuple[Store, ...], *, segment: str = "week
     ``least_equal`` of the values are equal (all of them for booleans); each
     takes its best partner.  Mixed types count as the most frequent, integers
     beside decimals as decimals.  Broken files, nulls and empty tables give no
-    rows.
+    rows.  Types come first, from what fits the target schema and what was
+    rescued; values are read only of fields that went or came.
     """
-    values = written(field_values(ingest(files, stores), stores), "drift-values")
+    types = written(field_types(ingest(files, stores), stores), "drift-types")
     kinds = ("boolean", "integer", "decimal", "string", "array", "object")
-    present = values.groupBy("file_id", "stream_id", "written_at", "part", "field").agg(*[F.count_if(F.col("type") == k).alias(k) for k in kinds])
+    present = types.groupBy("file_id", "stream_id", "written_at", "part", "field").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
     counts = F.array(*[F.struct((F.when((F.col("decimal") > 0), F.col("decimal") + F.col("integer")).otherwise(0) if k == "decimal" else F.when(F.col("decimal") > 0, 0).otherwise(F.col("integer")) if k == "integer" else F.col(k)).cast("bigint").alias("n"), F.lit(k).alias("k")) for k in kinds])
-    present = present.select("file_id", "stream_id", "written_at", "part", "field", F.array_max(counts)["k"].alias("type"))
+    present = written(present.select("file_id", "stream_id", "written_at", "part", "field", F.array_max(counts)["k"].alias("type")), "drift-present")
 
     seen = present.groupBy("file_id", "stream_id", "written_at").agg(F.bool_or(F.col("part") == "record").alias("has_records"))
     before = carry_previous(seen, ["stream_id"], ["written_at", "file_id"], F.date_trunc(segment, "written_at"), {"any_file": F.col("file_id"), "rec_file": F.when(F.col("has_records"), F.col("file_id"))})
@@ -146,10 +168,13 @@ def changes(files: DataFrame, stores: tuple[Store, ...], *, segment: str = "week
     both_ways = gone.select("file_id", "part").intersect(come.select("file_id", "part"))
 
     meets = pairs.join(both_ways, ["file_id", "part"])
-    old = values.withColumnRenamed("file_id", "prev_id").join(meets, ["prev_id", "part"]).join(gone.select("file_id", "part", "field"), ["file_id", "part", "field"])
-    old = old.select("file_id", "part", "rec_key", F.col("field").alias("old"), "type", "text")
-    new = values.join(come.select("file_id", "part", "field"), ["file_id", "part", "field"]).join(both_ways, ["file_id", "part"], "left_semi")
-    new = new.select("file_id", "part", "rec_key", F.col("field").alias("new"), "type", "text")
+    went = gone.join(meets, ["file_id", "part"]).select("file_id", "prev_id", "part", "field")
+    came = come.join(both_ways, ["file_id", "part"], "left_semi").select("file_id", "part", "field")
+    wanted = written(went.select(F.col("prev_id").alias("file_id"), "part", "field").unionByName(came).distinct(), "drift-wanted")
+    few = ingest(files.join(wanted.select("file_id").distinct(), "file_id", "left_semi"), stores)
+    values = written(field_values(few, stores, wanted), "drift-values")
+    old = values.withColumnRenamed("file_id", "prev_id").join(went, ["prev_id", "part", "field"]).select("file_id", "part", "rec_key", F.col("field").alias("old"), "type", "text")
+    new = values.join(came, ["file_id", "part", "field"]).select("file_id", "part", "rec_key", F.col("field").alias("new"), "type", "text")
     equal = old.join(new, ["file_id", "part", "rec_key", "type", "text"]).groupBy("file_id", "part", "old", "new").agg(F.countDistinct("rec_key").alias("equal"), F.max("type").alias("type"))
     shared = (
         equal.join(old.select("file_id", "part", "old", "rec_key").distinct(), ["file_id", "part", "old"])

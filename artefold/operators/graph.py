@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artefold.functions.text import ascii_lower, basename, dirname
+from artefold.operators.segments import running_sum
 from artefold.session import written
 
 # Patterns of symbols and imports.
@@ -106,9 +107,11 @@ def levels(nodes: DataFrame, depends: DataFrame) -> DataFrame:
 
 def prefix_cut(steps: DataFrame, budget: int) -> DataFrame:
     """``run, ord, cost, status``: steps run in order up to the first that would exceed the budget; it and the rest do not."""
-    w = Window.partitionBy("run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    used = steps.withColumn("used", F.sum("cost").over(w))
-    return used.select("run", "ord", "cost", F.when(F.max("used").over(w) <= budget, "ran").otherwise("budget_exceeded").alias("status"))
+    seg = F.floor(F.col("ord") / 4096)
+    used = running_sum(steps, ["run"], ["ord"], seg, F.col("cost"), "used", inclusive=True)
+    stops = used.filter(F.col("used") > budget).groupBy("run").agg(F.min("ord").alias("stop"))
+    rows = used.join(stops, "run", "left")
+    return rows.select("run", "ord", "cost", F.when(F.col("stop").isNull() | (F.col("ord") < F.col("stop")), "ran").otherwise("budget_exceeded").alias("status"))
 
 
 def plan_violations(steps: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
 """Reducing logs and command output.
 
-Lines are ``(log, line_no, text)``.  Windows run inside one log or command;
-where a log may be very long, ``carry_previous`` cuts it into segments.
+Lines are ``(log, line_no, text)``.  What depends on the order of lines runs in
+segments of a log (``carry_previous``), so a very long log is no hot key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artefold.functions.text import ascii_lower, fingerprint, message_template
@@ -30,13 +30,14 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("log"), F.posexplode(F.split(F.regexp_replace(text_col, "\r", ""), "\n")).alias("pos", "text")).select("log", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def run_length(lines: DataFrame, *, key: Column | None = None) -> DataFrame:
+def run_length(lines: DataFrame, *, key: Column | None = None, segment: int = 4096) -> DataFrame:
     """``log, first_line, text, n``: runs of consecutive lines that are equal by ``key``; the last raw line of a run stays."""
-    rows = lines.withColumn("__k", F.col("text") if key is None else key)
-    w = Window.partitionBy("log").orderBy("line_no")
-    starts = rows.withColumn("__new", (~F.col("__k").eqNullSafe(F.lag("__k").over(w)) | F.lag("line_no").over(w).isNull()).cast("int"))
-    runs = starts.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("log", "__run").agg(F.min("line_no").alias("first_line"), F.max_by("text", "line_no").alias("text"), F.count("*").alias("n")).drop("__run")
+    seg = F.floor(F.col("line_no") / segment)
+    rows = lines.select("log", "line_no", "text", (F.col("text") if key is None else key).alias("k"))
+    rows = carry_previous(rows, ["log"], ["line_no"], seg, {"before": F.struct("k")})
+    new = F.col("before").isNull() | ~F.col("k").eqNullSafe(F.col("before.k"))
+    rows = carry_previous(rows, ["log"], ["line_no"], seg, {"first_line": F.when(new, F.col("line_no"))}, inclusive=True)
+    return rows.groupBy("log", "first_line").agg(F.max_by("text", "line_no").alias("text"), F.count("*").alias("n"))
 
 
 def without_time(col: Column) -> Column:
@@ -44,11 +45,11 @@ def without_time(col: Column) -> Column:
     return F.when(col.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}"), F.substring(col, 20, 1 << 30)).otherwise(col)
 
 
-def collapse_blanks(lines: DataFrame) -> DataFrame:
+def collapse_blanks(lines: DataFrame, *, segment: int = 4096) -> DataFrame:
     """Of consecutive blank lines the first."""
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    w = Window.partitionBy("log").orderBy("line_no")
-    return lines.withColumn("__was", F.lag(blank).over(w)).filter(~blank | ~F.coalesce("__was", F.lit(False))).drop("__was")
+    rows = carry_previous(lines, ["log"], ["line_no"], F.floor(F.col("line_no") / segment), {"__was": blank})
+    return rows.filter(~blank | ~F.coalesce("__was", F.lit(False))).drop("__was")
 
 
 #: Fixed value: what looks like a path in command output.

@@ -35,3 +35,20 @@ def carry_previous(df: DataFrame, keys: list[str], order: list[str], segment: Co
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     rows = rows.withColumns({f"__i_{n}": F.last(f"__v_{n}", ignorenulls=True).over(inside) for n in values})
     return rows.join(ends, same, "left").select(*df.columns, *[F.coalesce(f"__i_{n}", f"__c_{n}").alias(n) for n in values])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], segment: Column, amount: Column, name: str, *, inclusive: bool = False) -> DataFrame:
+    """``df`` with ``name``, the sum of ``amount`` over the earlier rows of the key (and the row itself), by sums of two levels.
+
+    ``segment`` must not decrease along ``order``; make ``order`` unique.
+    """
+    rows = df.withColumns({"__seg": segment, "__amount": F.coalesce(amount, F.lit(0)).cast("bigint")})
+    inside = Window.partitionBy(*keys, "__seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    before = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "__seg").agg(F.sum("__amount").alias("__held"))
+    ends = ends.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__seg").alias("__s"), F.coalesce(F.sum("__held").over(before), F.lit(0)).alias("__base"))
+    same = F.col("__seg").eqNullSafe(F.col("__s"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    rows = rows.withColumn("__in", F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
+    return rows.join(ends, same, "left").select(*df.columns, (F.col("__in") + F.coalesce("__base", F.lit(0))).alias(name))

@@ -1,6 +1,8 @@
 """Event-sourced task state, in batch: folds, sequences, epochs, sessions.
 
-Events are ``(task, at, event_id, kind, ...)`` in the order (at, event_id).
+Events are ``(task, at, event_id, kind, ...)`` in the order (at, event_id),
+``at`` in Unix seconds.  Ordered operators run in segments of a day, so that a
+task with a large part of all events is spread over many tasks of Spark.
 """
 
 from __future__ import annotations
@@ -8,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from artefold.operators.segments import carry_previous, running_sum
+
+
+def _day() -> Column:
+    return F.floor(F.col("at") / 86400)
+
 
 def ordered(*cols: str) -> Column:
     return F.struct(*cols)
@@ -96,7 +104,7 @@ def last_n(events: DataFrame, n: int) -> DataFrame:
 
 def sequence(events: DataFrame) -> DataFrame:
     """Adds ``seq``, from 1 without gaps in each task."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy("task").orderBy("at", "event_id")))
+    return running_sum(events, ["task"], ["at", "event_id"], _day(), F.lit(1), "seq", inclusive=True)
 
 
 def since_checkpoint(events: DataFrame, *, boundary: str = "checkpoint_saved") -> DataFrame:
@@ -108,22 +116,21 @@ def since_checkpoint(events: DataFrame, *, boundary: str = "checkpoint_saved") -
 
 def epochs(events: DataFrame, *, mutates: list[str]) -> DataFrame:
     """Adds ``epoch``: how many mutations of the task came before."""
-    w = Window.partitionBy("task").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("epoch", F.coalesce(F.sum(F.col("kind").isin(mutates).cast("int")).over(w), F.lit(0)))
+    return running_sum(events, ["task"], ["at", "event_id"], _day(), F.col("kind").isin(mutates).cast("int"), "epoch")
 
 
 def cache_hits(calls: DataFrame) -> DataFrame:
     """``task, calls, hits``: a call hits if an earlier one of its task had the same fingerprint in the same epoch."""
-    w = Window.partitionBy("task", "fingerprint", "epoch").orderBy("at", "event_id")
-    return calls.withColumn("hit", F.row_number().over(w) > 1).groupBy("task").agg(F.count("*").alias("calls"), F.count_if("hit").alias("hits"))
+    groups = calls.groupBy("task", "fingerprint", "epoch").agg(F.count("*").alias("n"))
+    return groups.groupBy("task").agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("hits"))
 
 
 def debounced(events: DataFrame, gap_seconds: int) -> DataFrame:
     """``task, first_at, last_at, n``: bursts of events, each at most ``gap_seconds`` after the one before."""
-    w = Window.partitionBy("task").orderBy("at", "event_id")
-    new = F.when(F.col("at") - F.lag("at").over(w) <= gap_seconds, 0).otherwise(1)
-    rows = events.withColumn("__new", new).withColumn("__burst", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("task", "__burst").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).drop("__burst")
+    rows = carry_previous(events.select("task", "at", "event_id"), ["task"], ["at", "event_id"], _day(), {"before": F.col("at")})
+    new = F.coalesce(F.col("at") - F.col("before") > gap_seconds, F.lit(True))
+    rows = carry_previous(rows, ["task"], ["at", "event_id"], _day(), {"burst": F.when(new, F.struct("at", "event_id"))}, inclusive=True)
+    return rows.groupBy("task", "burst").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n")).drop("burst")
 
 
 def threshold_level(used: Column, budget: int, *, warn: float = 0.5, prepare: float = 0.75, force: float = 0.9) -> Column:
@@ -134,9 +141,8 @@ def threshold_level(used: Column, budget: int, *, warn: float = 0.5, prepare: fl
 
 def token_windows(events: DataFrame, *, boundary: str, budget: int) -> DataFrame:
     """``task, part, tokens, level``: tokens since each boundary and the level they reach."""
-    w = Window.partitionBy("task").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    part = F.coalesce(F.sum((F.col("kind") == boundary).cast("int")).over(w), F.lit(0))
-    g = events.withColumn("part", part).groupBy("task", "part").agg(F.sum("tokens").cast("bigint").alias("tokens"))
+    rows = running_sum(events, ["task"], ["at", "event_id"], _day(), (F.col("kind") == boundary).cast("int"), "part")
+    g = rows.groupBy("task", "part").agg(F.sum("tokens").cast("bigint").alias("tokens"))
     return g.withColumn("level", threshold_level(F.col("tokens"), budget))
 
 
@@ -145,11 +151,11 @@ def tumbling(events: DataFrame, ts: str, width: str) -> DataFrame:
     return events.groupBy(F.window(ts, width).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
 
 
-def fail_then_success(rows: DataFrame) -> DataFrame:
+def fail_then_success(rows: DataFrame, *, segment: int = 4096) -> DataFrame:
     """``grp, ord, program``: a failure directly followed by a success of the same program; rows ``(grp, ord, program, failed)``."""
-    w = Window.partitionBy("grp").orderBy("ord")
-    nxt = rows.withColumns({"__f": F.lead("failed").over(w), "__p": F.lead("program").over(w)})
-    return nxt.filter("failed and not __f and program = __p").select("grp", "ord", "program")
+    own = rows.select("grp", "ord", "program", "failed")
+    pairs = carry_previous(own, ["grp"], ["ord"], F.floor(F.col("ord") / segment), {"before": F.struct("ord", "program", "failed")})
+    return pairs.filter("not failed and before.failed and before.program = program").select("grp", "before.ord", "program")
 
 
 def gain(rows: DataFrame) -> DataFrame:

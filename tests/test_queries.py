@@ -43,6 +43,14 @@ def test_equals_sql(spark, small, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, small, name):
+    """Queries without SQL run over the whole tables and have unlike column names."""
+    df = QUERIES[name](spark, small)
+    df.collect()
+    assert len(set(df.columns)) == len(df.columns)
+
+
 def test_names_are_unique_and_sql_has_queries():
     assert set(SQL) <= set(QUERIES)
 

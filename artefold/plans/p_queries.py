@@ -142,7 +142,7 @@ def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mined line templates and how many lines each covers."""
-    return logmine.mine(table(spark, sf_dir, "diag_lines")).selectExpr("bucket", "array_join(template, '') as template", "n", "size(heads) > 0 as begins_entry")
+    return logmine.mine(table(spark, sf_dir, "diag_lines")).selectExpr("bucket", "array_join(template, ' ') as template", "n", "head is not null as begins_entry")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entries": p2_entries, "p2_templates": p2_templates, "p3_found": p3_found, "p5_found": p5_found, "p5_admitted": p5_admitted} | {f"p3_{n}": _entity(n) for n in ENTITIES} | {f"p3_{n}": _part(n) for n in PARTS} | {f"p1_{s.name}": _store_table(s) for s in STORES}

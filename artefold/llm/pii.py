@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from artefold.session import written
@@ -372,14 +372,17 @@ def _spans(documents: DataFrame, id_col: str, text_col: str, least_share: float)
     forms = scanned.filter("not sure").join(known("family"), "family", "left_semi")
     forms = forms.filter("given is null").unionByName(forms.filter("given is not null").join(known("given"), "given", "left_semi"))
     taken = written(forms.select(*scanned.columns), "pii-forms")
-    mixed = scanned.filter("sure").join(taken.select("__row").distinct(), "__row", "left_semi").unionByName(taken)
+    # forms never overlap sure mentions; only documents whose forms overlap each other have to be resolved
+    before = F.max("end_char").over(Window.partitionBy("__row").orderBy("start_char", "end_char").rowsBetween(Window.unboundedPreceding, -1))
+    clashing = taken.withColumn("__before", before).filter("start_char <= __before").select("__row").distinct()
+    mixed = taken.join(clashing, "__row", "left_semi")
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["pii_type"], pdf["start_char"], pdf["end_char"] + 1, pdf["given"], pdf["family"], pdf["sure"]))
         kept = {(r[1], r[2] - 1) for r in resolved(rows)}
         return pdf[[(a, b) in kept for a, b in zip(pdf["start_char"], pdf["end_char"])]]
 
-    result = scanned.filter("sure").join(taken.select("__row").distinct(), "__row", "left_anti").unionByName(mixed.groupBy("__row").applyInPandas(resolve, mixed.schema))
+    result = scanned.filter("sure").unionByName(taken.join(clashing, "__row", "left_anti").select(*scanned.columns)).unionByName(mixed.groupBy("__row").applyInPandas(resolve, mixed.schema).select(*scanned.columns))
     return result.select("__row", "__id", "__text_hash", "pii_type", "start_char", "end_char")
 
 

@@ -1,16 +1,16 @@
 """Entries of semi-structured logs by template mining.
 
-``mine`` clusters the lines.  Lines are reduced to shapes and counted (a
-partial aggregate, so a frequent shape costs one row); every shape goes on
-with a few of its lines, drawn by hash.  Their tokens are clustered by longest
-common subsequence within each partition, and the partitions' templates are
-merged by the same rule.  What all lines of a template have in common are its
-constants, the gaps between them its variable slots.
-
-The slots, and the constants, are classified by the types of what fills them
-over the example lines of the template (at most ``EXAMPLES``, drawn by hash):
-times, levels, repeated identifiers.  A template with a time, a level and a
-component begins an entry, and its head is compiled to one expression.
+``mine`` clusters the lines.  Every line is read: lines of one shape, the same
+types of tokens in the same order, are counted together with what stands at
+their places, so a frequent shape costs one row.  The shapes are clustered by
+longest common subsequence within each partition, and the partitions' templates
+are merged by the same rule.  What all lines of a template have in common are
+its constants, the gaps between them its variable slots.
+
+The places of a template are classified by counts of what fills them over all
+its lines: times, levels, repeated identifiers.  A template with a time, a
+level and a component begins an entry, and its head is compiled to one
+expression.
 ``entries`` parses all lines by these heads in the JVM and joins following
 lines to the entry before them.  Only heads reach the driver; they hold
 layouts, not data.
@@ -18,10 +18,10 @@ layouts, not data.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from hashlib import blake2b
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -62,11 +62,17 @@ TIMES = {
     "epoch_ms": r"\d{13}(?!\d)",
 }
 _LEVEL = "|".join(w for ws in LEVELS.values() for w in ws)
+_LEVEL_WORDS = {w for ws in LEVELS.values() for w in ws}
+_INITIALS = "".join(sorted({c for w in _LEVEL_WORDS for c in w[0] + w[0].upper()}))
 _TOKEN = re.compile(
-    "|".join(f"(?P<{n}>{p})" for n, p in TIMES.items())
-    + rf"|(?P<level>(?i:{_LEVEL})(?![\w/-]))|(?P<path>[\w.-]+/[\w./-]+)|(?P<word>[A-Za-z][\w-]*)|(?P<int>\d+)|(?P<space>\s+)|(?P<punct>.)"
+    r"(?P<space>\s+)|(?=\d)(?:"
+    + "|".join(f"(?P<{n}>{p})" for n, p in TIMES.items() if n != "mond")
+    + rf")|(?P<mond>{TIMES['mond']})|(?=[{_INITIALS}])(?P<level>(?i:{_LEVEL})(?![\w/-]))|(?P<path>[\w.-]++/[\w./-]+)|(?P<word>[A-Za-z][\w-]*)|(?P<int>\d+)|(?P<punct>.)"
 )
-EXAMPLES = 256  # example lines a template keeps to classify its slots
+_NAME = re.compile(r"[A-Za-z][A-Za-z_-]*")
+_STAMPS = {n: re.compile(p) for n, p in TIMES.items()}
+GONE = ("gone", "", False)  # lines that have nothing at a place
+HELD = 500_000  # values a partition holds before it hands on what it counted
 MARK = "\x01"
 ANSI = r"\x1B\[[0-9;?]*[A-Za-z]"
 STRUCTURED = r'^(?:\{\s*"|\w+=(?:"|\S)(?:.*\s)?\w+=)'
@@ -88,15 +94,32 @@ class Head:
 
 @dataclass
 class Template:
-    """``symbols`` with ``*`` for slots, the number of lines and examples of them."""
+    """``symbols`` with ``*`` for slots, the number of lines and what stands at their places.
+
+    ``lines`` are lines that are counted at once.  ``places`` counts, for each
+    token from the left, (type, text, whether white space is before it), or
+    ``GONE``; ``fixed`` has the constant at each place or None, and ``whole``
+    tells whether all lines end behind the last place.  For structured lines,
+    of the ``style`` json or pairs, ``places`` counts the values of each key.
+    It is None for lines that can't begin an entry.
+    """
 
     symbols: list[str]
     n: int
-    examples: list[str]
+    lines: Iterable[str] = ()
+    places: list[Counter] | dict[str, Counter] | None = None
+    fixed: list[str | None] | None = None
+    whole: bool = True
+    style: str = "text"
 
     def __post_init__(self) -> None:
         self.constants = [x for x in self.symbols if x != "*"]
         self.bag = Counter(self.constants)
+        for _, t in counted(Counter(self.lines)):
+            if self.fixed is None:
+                self.places, self.fixed, self.whole, self.style = t.places, t.fixed, t.whole, t.style
+            else:
+                self.places, self.fixed, self.whole = aligned(self, t, common(self.constants, t.constants))
 
 
 def tokens(line: str) -> list[tuple[str, str, bool]]:
@@ -114,22 +137,158 @@ def pairs_of(line: str) -> dict[str, str]:
     return {m["jk"] or m["lk"]: m["q"] if m["q"] is not None else m["b"] for m in PAIR.finditer(line)}
 
 
+def symbol(kind: str, text: str) -> str:
+    """What is compared of a token: its literal, but its type for times, levels, numbers and paths."""
+    return f"<{kind}>" if kind in TIMES or kind in ("level", "int", "path") else text
+
+
 def symbols(line: str) -> list[str]:
-    """What is compared: literals, but types for times, levels and numbers; pairs of structured lines by key."""
+    """What is compared of a line; structured lines by key."""
     if re.match(STRUCTURED, line):
         return [x for k in sorted(pairs_of(line)) for x in (k, "<value>")]
-    return [f"<{t}>" if t in TIMES or t in ("level", "int", "path") else x for t, x, _ in tokens(line)]
+    return [symbol(t, x) for t, x, _ in tokens(line)]
 
 
-def bucket_of(line: str) -> str:
-    """Lines of one layout begin alike: the first three tokens by type; structured lines by their style and first key."""
-    if re.match(STRUCTURED, line):
-        style = "json" if line.lstrip().startswith("{") else "pairs"
-        return f"{style}:{min(pairs_of(line), default='')}"
-    first = tokens(line)[:3]
+def bucket_of(row: list[tuple[str, str, bool]]) -> str:
+    """Lines of one layout begin alike: the first three tokens by type."""
+    first = row[:3]
     return " ".join(x if t == "punct" else "w" if t in ("word", "level") else t for t, x, _ in first) + ("" if first and not first[0][2] else " indented")
 
 
+def value_of(text: str) -> tuple[str, str, bool]:
+    """(type, text, False) of the value of a key; only names keep their text."""
+    if _NAME.fullmatch(text):
+        return "word", text, False
+    return next((n for n, p in _STAMPS.items() if p.fullmatch(text)), "other"), "", False
+
+
+class Shapes:
+    """Counts of lines by shape; names are counted by text, words that are no names by their type."""
+
+    def __init__(self) -> None:
+        self.texts: dict[tuple, list] = {}
+        self.keyed: dict[tuple, list] = {}
+        self.held = 0  # size of what is counted
+
+    def add(self, line: str, n: int) -> None:
+        if (line[0] == "{" or "=" in line) and re.match(STRUCTURED, line):
+            return self._add_pairs(line, n)
+        row = tokens(line)
+        key = tuple([(x if t == "punct" else t, s) for t, x, s in row])
+        words = [x for t, x, _ in row if t == "word"]
+        known = self.texts.get(key)
+        if known is None:
+            # only these can begin an entry: see head_of
+            begins = bool(row) and not row[0][2] and any(t in TIMES for t, _, _ in row[:4])
+            known = self.texts[key] = [0, row, words[:], [{} for _ in words] if begins else None]
+            self.held += len(row)
+        known[0] += n
+        if known[2] != words:
+            known[2] = [a if a == b else None for a, b in zip(known[2], words)]
+        if known[3] is not None:
+            for names, x in zip(known[3], words):
+                x = x if x.isalpha() or _NAME.fullmatch(x) else ""
+                if x in names:
+                    names[x] += n
+                else:
+                    names[x] = n
+                    self.held += 1
+
+    def _add_pairs(self, line: str, n: int) -> None:
+        pairs = pairs_of(line)
+        key = ("json" if line.startswith("{") else "pairs", *sorted(pairs))
+        known = self.keyed.get(key)
+        if known is None:
+            known = self.keyed[key] = [0, {k: Counter() for k in key[1:]}]
+            self.held += len(key)
+        known[0] += n
+        for at, (k, text) in enumerate(pairs.items()):
+            value, counts = value_of(text), known[1][k]
+            self.held += value not in counts
+            counts[value] += n
+            counts["place"] += at * n
+
+    def templates(self) -> Iterator[tuple[str, Template]]:
+        """(bucket, template) of each shape."""
+        for n, row, words, names in self.texts.values():
+            rest, fixed = iter(words), []
+            for t, x, _ in row:
+                fixed.append(next(rest) if t == "word" else symbol(t, x))
+            places = None
+            if names is not None:
+                found = iter(names)
+                places = [Counter({("word", x, s): k for x, k in next(found).items()} if t == "word" else {(t, x if t == "punct" else "", s): n}) for t, x, s in row]
+            yield bucket_of(row), Template(slotted(fixed), n, places=places, fixed=fixed)
+        for (style, *keys), (n, places) in self.keyed.items():
+            seq = [x for k in keys for x in (k, "<value>")]
+            yield f"{style}:{min(keys, default='')}", Template(seq, n, places=places, fixed=[], style=style)
+
+
+def counted(lines: dict[str, int]) -> Iterator[tuple[str, Template]]:
+    """(bucket, template) of each shape of so many lines."""
+    shapes = Shapes()
+    for line, n in lines.items():
+        shapes.add(line, n)
+    return shapes.templates()
+
+
+def slotted(fixed: list[str | None]) -> list[str]:
+    """The symbols of places, one slot for places in a row without a constant."""
+    out: list[str] = []
+    for x in fixed:
+        if x is not None:
+            out.append(x)
+        elif not out or out[-1] != "*":
+            out.append("*")
+    return out
+
+
+def aligned(a: Template, b: Template, constants: list[str]) -> tuple[list | dict | None, list | None, bool]:
+    """``places`` (changed in place), ``fixed`` and ``whole`` of two templates as one with these common constants.
+
+    Places agree up to the first gap between constants that differs in
+    length.  Behind it those of ``a``, which has more lines, stay, and the
+    lines of ``b`` are gone there.  Lines that can't begin an entry are gone
+    everywhere.
+    """
+    if a.places is None or b.places is None:
+        own, other = (a, b) if b.places is None else (b, a)
+        for x in own.places or ():
+            x[GONE] += other.n
+        rest = iter([*constants, None])
+        c, kept = next(rest), []
+        for x in own.fixed:
+            kept.append(x if x == c else None)
+            c = next(rest) if x is not None and x == c else c
+        return own.places, kept, own.whole
+    if isinstance(a.places, dict):
+        for k, counts in b.places.items():
+            a.places.setdefault(k, Counter()).update(counts)
+        return a.places, [], True
+    i = j = 0
+    fixed: list[str | None] = []
+    same = True
+    for c in [*constants, None]:
+        to, up = i, j
+        while to < len(a.fixed) and (c is None or a.fixed[to] != c):
+            to += 1
+        while up < len(b.fixed) and (c is None or b.fixed[up] != c):
+            up += 1
+        gap = min(to - i, up - j)
+        fixed += [None] * gap
+        same = to - i == up - j and (to < len(a.fixed)) == (up < len(b.fixed))
+        i, j = i + gap, j + gap
+        if not same or to == len(a.fixed):
+            break
+        fixed.append(c)
+        i, j = to + 1, up + 1
+    for x, y in zip(a.places[: len(fixed)], b.places):
+        x.update(y)
+    for x in a.places[len(fixed) :]:
+        x[GONE] += b.n
+    return a.places, fixed + [None] * (len(a.places) - len(fixed)), same and a.whole and b.whole
+
+
 def common(a: list[str], b: list[str]) -> list[str]:
     """A longest common subsequence of two templates; ``*`` matches nothing."""
     width = len(b) + 1
@@ -163,11 +322,6 @@ def with_slots(template: list[str], constants: list[str]) -> list[str]:
     return out
 
 
-def drawn(lines: list[str]) -> list[str]:
-    """At most ``EXAMPLES`` different lines, those of the least hashes, so that the order of arrival does not matter."""
-    return sorted(set(lines), key=lambda x: blake2b(x.encode(), digest_size=8).digest())[:EXAMPLES]
-
-
 def holds(constants: list[str], seq: list[str]) -> bool:
     """Whether ``constants`` is a subsequence of ``seq``."""
     rest = iter(seq)
@@ -187,78 +341,68 @@ def clustered(given: list[Template], least: float = 0.5) -> list[Template]:
             if len(lcs) >= need:
                 best, best_at = lcs, at
         if best_at is None:
-            found.append(g)
+            own = {k: Counter(c) for k, c in g.places.items()} if isinstance(g.places, dict) else g.places and [Counter(c) for c in g.places]
+            found.append(Template(g.symbols, g.n, (), own, g.fixed, g.whole, g.style))
         else:
             t = found[best_at]
             kept = t.symbols if len(best) == len(t.constants) and "*" in t.symbols else with_slots(t.symbols, best)
-            found[best_at] = Template(kept if len(best) < len(g.constants) or "*" in g.symbols or kept != t.symbols else t.symbols, t.n + g.n, t.examples + g.examples)
-    return [Template(t.symbols, t.n, drawn(t.examples)) for t in found]
-
-
-def columns(template: Template) -> list[list[tuple[str, str, bool]] | None]:
-    """The tokens of the examples by place, one list for each constant and each place within a slot; None where a slot differs in length."""
-    rows = [tokens(x) for x in template.examples]
-    at, out = [0] * len(rows), []
-    for c in [*template.constants, None]:
-        ends = []
-        for k, row in enumerate(rows):
-            end = at[k]
-            while c is not None and end < len(row) and (f"<{row[end][0]}>" if row[end][0] in TIMES or row[end][0] in ("level", "int", "path") else row[end][1]) != c:
-                end += 1
-            ends.append(end if c is not None else len(row))
-        gap = [e - a for e, a in zip(ends, at)]
-        out += [[row[a + i] for row, a in zip(rows, at)] for i in range(min(gap))]
-        if max(gap) > min(gap):
-            out.append(None)
-        if c is not None:
-            out.append([row[e] for row, e in zip(rows, ends)])
-        at = [e + 1 for e in ends]
-    return out
+            places, fixed, whole = aligned(t, g, best)
+            found[best_at] = Template(kept if len(best) < len(g.constants) or "*" in g.symbols or kept != t.symbols else t.symbols, t.n + g.n, (), places, fixed, whole, t.style)
+    return found
+
 
+def columns(template: Template) -> list[Counter | None]:
+    """What fills the places from the left; None from where more than a tenth of the lines have nothing that belongs there, or where they end differently."""
+    out: list[Counter | None] = []
+    for col in template.places or ():
+        if col[GONE] > 0.1 * template.n:
+            return [*out, None]
+        out.append(Counter({t: k for t, k in col.items() if t != GONE}))
+    return out if template.whole else [*out, None]
 
-def _share(column: list[tuple], test) -> float:
-    return sum(map(test, column)) / len(column)
+
+def _share(column: Counter, test) -> float:
+    return sum(k for t, k in column.items() if test(t)) / column.total()
 
 
 def _is_name(kind: str, text: str) -> bool:
-    return kind == "word" and not any(c.isdigit() for c in text)
+    return kind == "word" and bool(text)
 
 
-def _repeats(values: list[str]) -> bool:
-    """A small vocabulary: at most half as many values as lines; as many as 32 may come once in few lines."""
-    return len({v.lower() for v in values}) <= max(32, len(values) // 2)
+def _repeats(column: Counter) -> bool:
+    """A small vocabulary: at most half as many names as lines; as many as 32 may come once in few lines."""
+    return len({t[1].lower() for t in column if _is_name(*t[:2])}) <= max(32, column.total() // 2)
 
 
 def structured_head(template: Template) -> tuple[str, str, str, tuple[int, ...]] | None:
-    """The head of a template of pairs: the keys of all its lines, by what their values are; the names of keys only break ties."""
-    rows = [pairs_of(x) for x in template.examples]
-    keys = [k for k in rows[0] if all(k in r for r in rows)]
-    of = {k: [r[k] for r in rows] for k in keys}
+    """The head of a template of pairs: keys by what their values are, a time and a component in at least nine of ten lines; the names of keys only break ties."""
+    at = {k: c["place"] / (c.total() - c["place"]) for k, c in template.places.items()}  # on average
+    of = {k: Counter({v: m for v, m in template.places[k].items() if v != "place"}) for k in sorted(at, key=lambda k: (at[k], k))}
+    share = lambda k, test: sum(m for v, m in of[k].items() if test(v)) / template.n
     named = lambda names: sorted(of, key=lambda k: (k not in names, names.index(k) if k in names else 0))
-    timed = {k: n for k in keys for n, p in TIMES.items() if all(re.fullmatch(p, v) for v in of[k])}
+    timed = {k: n for k in of for n in TIMES if share(k, lambda v: v[0] == n) >= 0.9}
     time = next((k for k in named(TIME_KEYS) if k in timed), None)
-    share = lambda k: sum(bool(re.fullmatch(f"(?i:{_LEVEL})", v)) for v in of[k]) / len(rows)
-    level = max((k for k in named(LEVEL_KEYS) if share(k) >= 0.5), key=share, default=None)
-    rest = [k for k in named(COMPONENT_KEYS) if k not in (time, level) and all(re.fullmatch(r"[A-Za-z][A-Za-z_-]*", v) for v in of[k]) and _repeats(of[k])]
+    levels = {k: share(k, lambda v: v[1].lower() in _LEVEL_WORDS) for k in of}
+    level = max((k for k in named(LEVEL_KEYS) if levels[k] >= 0.5), key=levels.get, default=None)
+    rest = [k for k in named(COMPONENT_KEYS) if k not in (time, level) and share(k, lambda v: _is_name(*v[:2])) >= 0.9 and _repeats(of[k])]
     if not (time and level and rest):
         return None
     # of several, a usual name, then the least vocabulary
-    component = rest[0] if rest[0] in COMPONENT_KEYS else min(rest, key=lambda k: len(set(of[k])))
-    style = "json" if template.examples[0].lstrip().startswith("{") else "pairs"
-    return style, timed[time], f"{time}|{level}|{component}", ()
+    component = rest[0] if rest[0] in COMPONENT_KEYS else min(rest, key=lambda k: len(of[k]))
+    return template.style, timed[time], f"{time}|{level}|{component}", ()
 
 
 def head_of(template: Template) -> tuple[str, str, str, tuple[int, ...]] | None:
     """(kind, layout, pattern, groups) if the slots and constants of the template make its lines the first of an entry, else None.
 
-    The time is the first place that is a time of one layout in all examples,
-    at most three tokens into the line.  The level is the first place where
-    at least half of the values are words for levels, or letters for them
-    between bars; other words at that place are then levels too.  The
-    component is the first place behind the time that holds names from a
-    small vocabulary.
+    The time is the first place that is a time of one layout in at least nine
+    of ten lines, at most three tokens into the line.  The level is the first
+    place where at least half of the values are words for levels, or nine of
+    ten are letters for them between bars; other words at that place are then
+    levels too.  The component is the first place behind the time that holds
+    names from a small vocabulary.
     """
-    if re.match(STRUCTURED, template.examples[0]):
+    if template.style != "text":
         return structured_head(template)
     if template.symbols == ["{"]:
         return "block", "", "", ()
@@ -266,15 +410,18 @@ def head_of(template: Template) -> tuple[str, str, str, tuple[int, ...]] | None:
     if not cols or cols[0] is None or any(t[2] for t in cols[0]):
         return None
     roles: dict[str, int] = {}
-    lettered = lambda i: 0 < i < len(cols) - 1 and cols[i - 1] and cols[i + 1] and all(t[1] == "|" for t in cols[i - 1] + cols[i + 1]) and all(t[1] in LETTERS for t in cols[i])
+    barred = lambda col: bool(col) and _share(col, lambda t: t[1] == "|") >= 0.9
+    lettered = lambda i: 0 < i < len(cols) - 1 and barred(cols[i - 1]) and barred(cols[i + 1]) and _share(cols[i], lambda t: t[1] in LETTERS) >= 0.9
+    layout = ""
     for i, col in enumerate(cols):
         if col is None:
             break
-        if "time" not in roles and len({t[0] for t in col}) == 1 and col[0][0] in TIMES:
-            roles["time"] = i
+        stamp = next((n for n in TIMES if _share(col, lambda t: t[0] == n) >= 0.9), None)
+        if "time" not in roles and stamp:
+            roles["time"], layout = i, stamp
         elif "level" not in roles and (_share(col, lambda t: t[0] == "level") >= 0.5 or lettered(i)):
             roles["level"] = i
-        elif "time" in roles and "component" not in roles and _share(col, lambda t: _is_name(*t[:2])) >= 0.9 and _repeats([t[1] for t in col]):
+        elif "time" in roles and "component" not in roles and _share(col, lambda t: _is_name(*t[:2])) >= 0.9 and _repeats(col):
             roles["component"] = i
         if len(roles) == 3:
             break
@@ -290,22 +437,22 @@ def head_of(template: Template) -> tuple[str, str, str, tuple[int, ...]] | None:
         kinds = {t[0] for t in col}
         if i > end:
             same = {t[1] for t in col}
-            pattern += between if spaces == {True} else re.escape(col[0][1]) if len(same) == 1 and kinds == {"punct"} else r"\b"
+            pattern += between if spaces == {True} else re.escape(same.pop()) if len(same) == 1 and kinds == {"punct"} else r"\b"
             break
         pattern += between
         role = at.get(i)
         if role:
             order.append(role)
-            pattern += {"time": f"({TIMES[col[0][0]]})" if col[0][0] in TIMES else "", "level": r"([A-Za-z]+)", "component": r"([A-Za-z][A-Za-z_-]*)"}[role]
+            pattern += {"time": f"({TIMES[layout]})", "level": r"([A-Za-z]+)", "component": r"([A-Za-z][A-Za-z_-]*)"}[role]
         elif kinds == {"punct"}:
             same = {t[1] for t in col}
-            pattern += re.escape(col[0][1]) if len(same) == 1 else r"\S"
+            pattern += re.escape(same.pop()) if len(same) == 1 else r"\S"
         else:
             pattern += r"\d+" if kinds == {"int"} else r"\S+?"
     if end + 1 >= len(cols) or cols[end + 1] is None:
         pattern += r"\b"
     pattern += "(.*)$"
-    return "text", cols[roles["time"]][0][0], pattern, tuple(order.index(r) + 1 for r in ("time", "level", "component"))
+    return "text", layout, pattern, tuple(order.index(r) + 1 for r in ("time", "level", "component"))
 
 
 def cleaned(text: Column) -> Column:
@@ -313,48 +460,43 @@ def cleaned(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, ANSI, ""), rf"[\r\n]+$|{MARK}", "")
 
 
-def shape(line: Column) -> Column:
-    """Lines of one shape have the same tokens up to names, paths, numbers and the length of their text; keys of pairs and levels are kept."""
-    s = F.regexp_replace(line, r"[\w.-]+(?:/[\w.-]+)+", "p")
-    s = F.regexp_replace(s, rf'\b(?!(?i:{_LEVEL})\b)[A-Za-z_]\w*(?![\w-]*(?:=|"\s*:))', "w")
-    return F.regexp_replace(F.regexp_replace(s, r"\d+", "0"), r"[wp](?: [wp0])+", "w")
-
-
-def mine(lines: DataFrame, *, text: str = "text") -> DataFrame:
+def mine(lines: DataFrame, *, text: str = "text", held: int = HELD) -> DataFrame:
     """``bucket, template, n, head``: the templates of all lines.
 
     ``head`` is the compiled head of a template whose lines begin entries,
-    else null.
+    else null.  A partition hands on its templates whenever it has counted
+    ``held`` values, so that its memory is bounded.
     """
-    line = F.col("line")
-    draw = lambda f, k: f(F.struct(F.xxhash64(line, F.lit(k)).alias("h"), line))["line"]
-    counted = lines.select(cleaned(F.col(text)).alias("line")).filter("trim(line) <> ''").groupBy(shape(line).alias("shape")).agg(
-        F.count("*").alias("n"), F.array_distinct(F.array(draw(F.min, 0), draw(F.max, 0), draw(F.min, 1), draw(F.max, 1))).alias("lines")
-    )
-    part = "bucket string, template array<string>, n bigint, examples array<string>"
+    part = "bucket string, style string, template array<string>, n bigint, fixed array<string>, whole boolean, places binary"
     done = "bucket string, template array<string>, n bigint, head struct<kind:string,layout:string,pattern:string,groups:array<int>>"
 
+    def handed(shapes: Shapes) -> pd.DataFrame:
+        by: dict[str, list[Template]] = defaultdict(list)
+        for b, t in shapes.templates():
+            by[b].append(t)
+        rows = [(b, t.style, t.symbols, t.n, t.fixed, t.whole, pickle.dumps(t.places)) for b, own in by.items() for t in clustered(own)]
+        return pd.DataFrame(rows, columns=["bucket", "style", "template", "n", "fixed", "whole", "places"])
+
     def partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by: dict[str, dict[tuple, Template]] = defaultdict(dict)
+        shapes = Shapes()
         for pdf in batches:
-            for drawn_lines, n in zip(pdf["lines"], pdf["n"]):
-                for k, x in enumerate(drawn_lines):
-                    seq, own = symbols(x), by[bucket_of(x)]
-                    known = own.get(tuple(seq))
-                    count = int(n) if k == 0 else 0  # a shape counts once
-                    own[tuple(seq)] = Template(seq, count, [x]) if known is None else Template(seq, known.n + count, [*known.examples[:EXAMPLES], x])
-        rows = [(b, t.symbols, t.n, t.examples) for b, own in by.items() for t in clustered(list(own.values()))]
-        yield pd.DataFrame(rows, columns=["bucket", "template", "n", "examples"])
+            for line, n in Counter(pdf["line"]).items():
+                shapes.add(line, n)
+                if shapes.held >= held:
+                    yield handed(shapes)
+                    shapes = Shapes()
+        yield handed(shapes)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = clustered([Template(list(t), int(n), list(e)) for t, n, e in zip(pdf["template"], pdf["n"], pdf["examples"])])
+        given = [Template(list(t), int(n), (), pickle.loads(p), list(f), bool(w), s) for s, t, n, f, w, p in zip(pdf["style"], pdf["template"], pdf["n"], pdf["fixed"], pdf["whole"], pdf["places"])]
         rows = []
-        for t in found:
+        for t in clustered(given):
             h = head_of(t)
             rows.append((key[0], t.symbols, t.n, h and {"kind": h[0], "layout": h[1], "pattern": h[2], "groups": list(h[3])}))
         return pd.DataFrame(rows, columns=["bucket", "template", "n", "head"])
 
-    return counted.select("lines", "n").mapInPandas(partition, part).groupBy("bucket").applyInPandas(merge, done)
+    read = lines.select(cleaned(F.col(text)).alias("line")).filter("trim(line) <> ''")
+    return read.mapInPandas(partition, part).groupBy("bucket").applyInPandas(merge, done)
 
 
 def heads(lines: DataFrame, *, text: str = "text") -> list[Head]:

@@ -168,3 +168,41 @@ def test_seconds_do_not_depend_on_the_zone_of_the_session(spark, small):
         assert get() == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+NAMES = [a + b + c for a in ("al", "be", "cor", "du", "em", "fa", "go", "hi", "iv", "jo") for b in "aeiouxyzkr" for c in ("na", "ter", "vin", "los", "mik")]
+
+
+def test_every_line_decides_what_a_place_holds(spark):
+    """All lines are of one shape; few of them can't tell the many users at the first place of names from the two programs at the second."""
+    texts = [f"2025-03-13T05:{s // 60:02d}:{s % 60:02d}Z ERROR <{who}> {{{['brontide', 'lathe'][s % 2]}}}: slow probe" for s, who in enumerate(NAMES)]
+    got = _parse(spark, *texts)
+    assert [r.component for r in got] == ["brontide", "lathe"] * (len(texts) // 2)
+
+
+def test_a_rare_line_is_seen_in_its_template(spark):
+    """One line in 3000 has another word, so the word is no constant."""
+    lines = spark.createDataFrame([(f"step {'opened' if k == 1234 else 'closed'} at {k} ms",) for k in range(3000)], "text string")
+    assert [(r.template, r.n, r.head) for r in logmine.mine(lines.repartition(3)).collect()] == [(["step", "*", "at", "<int>", "ms"], 3000, None)]
+
+
+def test_all_lines_count_however_often_counts_are_handed_on(spark, small):
+    lines = spark.read.parquet(f"{small}/diag_lines.parquet")
+    full = lines.select(logmine.cleaned(lines["text"]).alias("line")).filter("trim(line) <> ''").count()
+    once, often = logmine.mine(lines).collect(), logmine.mine(lines, held=400).collect()
+    assert sum(r.n for r in once) == sum(r.n for r in often) == full
+    assert {str(r.head) for r in once} == {str(r.head) for r in often}
+
+
+def test_a_line_without_a_level_leaves_the_head(spark):
+    """It shares the template; the places of the other lines stay."""
+    texts = [NEW.format(s=s, c=["brontide", "lathe"][s % 2], l="ERROR", m="x") for s in range(40)] + ["2025/03/13 05:34:59.5 {lathe} <> n=3 x"]
+    assert len([r for r in logmine.counted(dict.fromkeys(texts, 1))]) == 2 == 1 + len(logmine.clustered([t for _, t in logmine.counted(dict.fromkeys(texts, 1))]))
+    assert [r.component for r in _parse(spark, *texts)] == ["brontide", "lathe"] * 20
+
+
+def test_a_line_without_a_time_leaves_the_head(spark):
+    texts = [f"{['WARN', 'INFO'][s % 2]} 2025-03-13 05:34:{s:02d} -0800 lathe: slow probe n={s}" for s in range(40)]
+    shapes = [t for _, t in logmine.counted(dict.fromkeys([*texts, "INFO lathe: slow probe n=3"], 1))]
+    timed = max(logmine.clustered(shapes, least=0.3), key=lambda t: t.n)
+    assert timed.n == 41 and logmine.head_of(timed)
